@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import A_Z, LOWER_A_Z, table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .quality import quality_scores
+from .secrets import secret_scan
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +21,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
