@@ -9,6 +9,7 @@ nearest K vote, each with its similarity to the power SHARPEN.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,48 +30,59 @@ MOST_LABELLED, N_LATENT, K, SHARPEN, BLOCK = 4096, 48, 25, 8, 512
 PARTS = (0.25, 1.0, 0.75)
 
 
+_RUNS = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|(.)\4*", re.S)
+_NAMES = ("A", "a", "0")
+
+
 def shape(word: str) -> str:
-    out = []
-    for c in word:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:8])
+    """Runs of capitals, small letters and digits as A, a and 0, other characters once for each run; the first eight of them.
+
+    Letters beyond ASCII are taken for a small or a capital e.
+    """
+    if word.isalpha() and (word.islower() or word.istitle() and word[1:].islower()):  # most words
+        return "a" if word.islower() else "Aa"
+    if not word.isascii():
+        word = "".join(c if c < "\x80" else "E" if c.isupper() else "e" if c.isalpha() else c for c in word[:64])
+    return "".join([m[4] or _NAMES[m.lastindex - 1] for m in _RUNS.finditer(word)][:8])
 
 
 class Featurizer:
     """Texts to rows of DIMS numbers. Words met before are looked up; the table starts anew when it is full."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def indices(self, word: str) -> tuple[int, int]:
-        if (x := self.known.get(word)) is None:
-            if len(self.known) > 150_000:
-                self.known.clear()
-            x = self.known[word] = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS, WORDS + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES)
-        return x
+        self.known = Known()
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), DIMS), np.float32)
+        known = self.known
+        if len(known) > 300_000:
+            known.clear()
         for row, text in zip(out, texts):
             ws = (text or "").split()
             if not ws:
                 continue
             n = len(ws)
             counts = Counter(ws)
-            at = [self.indices(w) for w in counts]
+            ij = np.array(list(map(known.__getitem__, counts)))
             c = np.fromiter(counts.values(), np.float64, len(counts))
-            ij = np.array(at)
-            row[:WORDS] = np.bincount(ij[:, 0], c, WORDS) / n
-            row[WORDS : WORDS + SHAPES] = np.bincount(ij[:, 1] - WORDS, c, SHAPES) / n
-            measures = (sum(map(eq, ws, ws[1:])) / n, len(counts) / n if n > 30 else 1.0, len(text) / n / 20, min(1.0, float(np.max(c)) / n * 2) if n > 30 else 0.0)
+            row[:WORDS] = np.bincount(ij & 0xFFFF, c, WORDS)
+            row[WORDS : WORDS + SHAPES] = np.bincount(ij >> 16, c, SHAPES)
+            row[: WORDS + SHAPES] /= n
+            measures = (sum(map(eq, ws, ws[1:])) / n, len(counts) / n if n > 30 else 1.0, len(text) / n / 20, min(1.0, float(c.max()) / n * 2) if n > 30 else 0.0)
             for k, v in enumerate(measures):
                 row[WORDS + SHAPES + 16 * k + min(15, int(v * 16))] = 1.0
         np.sqrt(out, out)
         return out
 
 
+class Known(dict):
+    """Word -> hash of the word below WORDS, and the hash of its shape below SHAPES in the higher bits."""
+
+    def __missing__(self, word: str) -> int:
+        x = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS | zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES << 16
+        return x
+
+
 def features(texts: list[str | None], featurizer: Featurizer) -> np.ndarray:
     x = featurizer(texts)
     for (lo, hi), w in zip(((0, WORDS), (WORDS, WORDS + SHAPES), (WORDS + SHAPES, DIMS)), PARTS):
