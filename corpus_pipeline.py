@@ -3,14 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from trabecula.llm.common import bucket_of, table
+from trabecula.llm.exact_dedup import exact_dedup
+from trabecula.llm.mixing import mix
+from trabecula.llm.near_dups import near_duplicates
+from trabecula.llm.pieces import encode
+from trabecula.llm.quality import fit, scored
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the ids in gone. A null id is no key: rows that have it stay."""
+    return docs.join(gone.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier scores 0.5 or more. It learns from the same fold of the labels as op9."""
+    labels = table(spark, sf_dir, "labels")
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, fit(docs, labels.filter(bucket_of("doc_id", 3) != 1)), name).filter(F.col(name) >= 0.5).select(docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts, the one with the largest doc_id."""
+    return without(docs, exact_dedup(docs).filter("not kept"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies, the one with the smallest doc_id."""
+    return without(docs, near_duplicates(docs).filter("doc_id <> class_id"))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes its words, to the nearest whole number; what it doesn't take goes.
+
+    A source's stream is cut at one place, so that at most one document of a source is taken in part.
+    """
+    taken = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
+    times = taken.filter("mix_size > 0").select(F.col("doc_id").alias("mix_id"), F.round(F.col("mix_taken") / F.col("mix_size")).cast("int").alias("mix_times")).filter("mix_times > 0")
+    met = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_id"]))
+    return met.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes what is left: doc_id, n_pieces, ids."""
+    return encode(docs, with_text=False).select("doc_id", "n_pieces", "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing sources", mix_stage),
+    ("SentencePiece", pieces_stage),
+]
 #: The stages' scores, hashes and token ids have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

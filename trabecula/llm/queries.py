@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import A_Z, LOWER_A_Z, table
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
 from .mixing import mix
 from .near_dups import near_duplicates
 from .neighbours import nearest
@@ -32,6 +33,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, in it one for each thousand ids."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    out = license_scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return out.withColumnRenamed("file_id", "doc_id")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -60,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
     "op6_lm_scores": op6_lm_scores,
     "op7_exact_dedup": op7_exact_dedup,
