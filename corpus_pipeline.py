@@ -14,8 +14,8 @@ from trabecula.llm.quality import fit, scored
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in gone. A null id is no key: rows that have it stay."""
-    return docs.join(gone.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs but for the ids in gone, merged at every size. A null id is no key: rows that have it stay."""
+    return docs.join(gone.filter("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
     times = taken.filter("mix_size > 0").select(F.col("doc_id").alias("mix_id"), F.round(F.col("mix_taken") / F.col("mix_size")).cast("int").alias("mix_times")).filter("mix_times > 0")
-    met = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_id"]))
+    met = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["mix_id"]))
     return met.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
 
 
