@@ -1 +1 @@
-
+"""Nothing here yet: volumes are read whole, and no operator of the engine takes a stream."""
