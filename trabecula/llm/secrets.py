@@ -43,6 +43,7 @@ ENCODINGS = (
     ("base64", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64url", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"),
 )
+NOT_LETTERS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalpha())
 _INDEX = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in ENCODINGS]
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, cands array<struct<s:int,e:int,stratum:int,bin:int>>, natural array<struct<cell:int,n:long>>"
 
@@ -127,25 +128,26 @@ def _places() -> np.ndarray:
     return out
 
 
-def natural_cells(letters: np.ndarray) -> np.ndarray:
-    """letters: bytes a-z and A-Z of a text. -> counts by stratum * BINS + bin of its pieces; what is left over is too short."""
+def natural_cells(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """letters: bytes a-z and A-Z of the texts one after another, sizes: how many each has. -> counts by stratum * BINS + bin.
+
+    Every text is cut into pieces of the strata's least lengths in turn, again and again; a piece that it ends in doesn't count.
+    """
     out = np.zeros(len(STRATA) * BINS, np.int64)
-    places, turn = _places(), sum(STRATA)
-    whole = len(letters) // turn
-    at = 0
+    places, turn, at = _places(), sum(STRATA), 0
+    begin = np.cumsum(sizes) - sizes
     for s, n in enumerate(STRATA):
-        rows = letters[: whole * turn].reshape(whole, turn)[:, at : at + n]
-        rest = letters[whole * turn + at : whole * turn + at + n]
-        if len(rest) == n:
-            rows = np.concatenate([rows, rest[None]])
+        times = np.maximum((sizes - at - n) // turn + 1, 0)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        starts = np.repeat(begin + at, times) + nth * turn
         at += n
-        if not len(rows):
-            continue
-        lower = (rows >= 97).sum(1)
-        for row, (chosen, k) in enumerate(((lower == 0, 32), (lower == n, 36), ((lower > 0) & (lower < n), 62))):
-            if chosen.any():
-                bins = np.minimum(BINS - 1, (-randomness_rows(places[row][rows[chosen]], k) * 10).astype(np.int64))
-                out[s * BINS : (s + 1) * BINS] += np.bincount(np.maximum(bins, 0), minlength=BINS)
+        for i in range(0, len(starts), 8192):
+            rows = letters[starts[i : i + 8192, None] + np.arange(n)]
+            lower = (rows >= 97).sum(1)
+            for row, (chosen, k) in enumerate(((lower == 0, 32), (lower == n, 36), ((lower > 0) & (lower < n), 62))):
+                if chosen.any():
+                    bins = np.minimum(BINS - 1, (-randomness_rows(places[row][rows[chosen]], k) * 10).astype(np.int64))
+                    out[s * BINS : (s + 1) * BINS] += np.bincount(np.maximum(bins, 0), minlength=BINS)
     return out
 
 
@@ -161,7 +163,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))), ("cands", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("stratum", pa.int32()), ("bin", pa.int32())]))), ("natural", pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())])))])
     for b in batches:
         rows = []
-        natural = np.zeros(len(STRATA) * BINS, np.int64)
+        natural, letters, held = np.zeros(len(STRATA) * BINS, np.int64), [], 0
         for text in b.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
@@ -172,10 +174,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 if (score := randomness(token)) is not None:
                     cands.append({"s": m.start(), "e": m.end(), "stratum": stratum_of(len(token)), "bin": bin_of(score)})
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            natural += natural_cells(raw[((raw >= 97) & (raw <= 122)) | ((raw >= 65) & (raw <= 90))])
+            letters.append(text.encode("utf-8", "surrogatepass").translate(None, NOT_LETTERS))
+            held += len(letters[-1])
+            if held > 4_000_000:
+                natural += natural_cells(np.frombuffer(b"".join(letters), np.uint8), np.array([len(x) for x in letters]))
+                letters, held = [], 0
             kinds = [x[1] for x in base]
             rows.append([kinds.count(0), kinds.count(1), kinds.count(2), [{"s": s, "k": k, "e": e} for s, k, e in base], cands, []])
+        natural += natural_cells(np.frombuffer(b"".join(letters), np.uint8), np.array([len(x) for x in letters], np.int64))
         if rows:  # the first row carries the batch's counts
             rows[0][5] = [{"cell": int(c), "n": int(natural[c])} for c in np.nonzero(natural)[0]]
         columns = list(zip(*rows)) or [()] * 6
