@@ -299,7 +299,7 @@ def test_licenses(spark):
         1: ("MIT", "own", None), 2: ("MIT", "inherited", "r"), 3: ("Apache-2.0", "own", None), 4: ("GPL-3.0", "inherited", "r/src/deep"), 5: ("CC-BY-4.0", "inherited", ""),
         6: ("GPL-3.0", "own", None), 7: ("Proprietary", "own", None), 8: ("CC-BY-4.0", "inherited", ""), 9: ("CC-BY-4.0", "own", None),
     }
-    assert got[6].score == 1.0 and got[1].line == 0
+    assert got[6].score == got[9].score == 1.0 and got[1].line == 0
 
 
 def test_pipeline(spark, corpus, tmp_path):

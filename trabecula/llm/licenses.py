@@ -97,14 +97,15 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     weights = spark.createDataFrame([(t, idf[t], name, v[t]) for name, v in vectors.items() for t in v], "term string, idf double, own string, weight double")
     lines = src.filter("text is not null").select("file_id", "path", F.length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
     kept = lines.filter(F.lower("body").rlike(rf"(?<![a-z0-9])({'|'.join(heavy)})(?![a-z0-9])")).withColumn("terms", terms(F.col("body"))).withColumn("share", F.length("body") / F.col("size"))
+    kept = kept.dropDuplicates(["file_id", "path", "line", "body"]).withColumn("own_line", F.xxhash64("body"))  # repeated rows, and ids with several texts
     idf_of = F.array(*(F.lit(idf[t]) for t in known))
     distinct = F.array_distinct("terms")
     tf = lambda t: F.size(F.filter("terms", lambda x: x == t))
     place = lambda t: F.array_position(F.array(*map(F.lit, known)), t)
     square = F.aggregate(distinct, F.lit(0.0), lambda a, t: a + F.pow(tf(t) * F.when(place(t) > 0, F.element_at(idf_of, F.greatest(place(t), F.lit(1)).cast("int"))).otherwise(OTHER), F.lit(2.0)))
-    long = kept.withColumn("norm", F.sqrt(square)).select("file_id", "path", "line", "share", "norm", F.explode(F.transform(distinct, lambda t: F.struct(t.alias("term"), tf(t).alias("tf")))).alias("x"))
-    met = long.select("file_id", "path", "line", "share", "norm", F.col("x.term").alias("term"), F.col("x.tf").alias("tf")).join(F.broadcast(weights), "term")
-    cosine = met.groupBy("file_id", "path", "line", "own").agg(F.max("share").alias("share"), F.round(F.sum(F.col("tf") * F.col("idf") * F.col("weight")) / F.max("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+    long = kept.withColumn("norm", F.sqrt(square)).select("file_id", "path", "line", "own_line", "share", "norm", F.explode(F.transform(distinct, lambda t: F.struct(t.alias("term"), tf(t).alias("tf")))).alias("x"))
+    met = long.select("file_id", "path", "line", "own_line", "share", "norm", F.col("x.term").alias("term"), F.col("x.tf").alias("tf")).join(F.broadcast(weights), "term")
+    cosine = met.groupBy("file_id", "path", "line", "own_line", "own").agg(F.max("share").alias("share"), F.round(F.sum(F.col("tf") * F.col("idf") * F.col("weight")) / F.max("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
     best = cosine.groupBy("file_id", "path").agg(F.min(F.struct((-F.col("score")).alias("far"), "line", "own", "share")).alias("b"))
     own = staged(best.select("file_id", "path", F.col("b.own").alias("own"), (-F.col("b.far")).alias("score"), F.col("b.line").alias("line"), F.col("b.share").alias("share")), "license-own")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import A_Z, LOWER_A_Z, table
 from .exact_dedup import exact_dedup
-from .licenses import license_scan
+from .licenses import MOSTLY, OTHER, THRESHOLD, license_scan, template_counts
 from .mixing import mix
 from .near_dups import near_duplicates
 from .neighbours import nearest
@@ -77,7 +77,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
+_TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_TEMPLATES = ", ".join(f"('{name}', '{t}', {n})" for name, counts in template_counts().items() for t, n in counts.items())
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": f"""
+        WITH f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path,
+            concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR)) AS dir, text FROM documents),
+        tpl(own, term, tf) AS (VALUES {_TEMPLATES}),
+        seen AS (SELECT DISTINCT doc_id, unnest({_TERMS.format('text')}) AS term FROM f),
+        idf AS (SELECT t.term, ln(((SELECT count(*) FROM f) + 1) / (count(s.doc_id) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tpl) t LEFT JOIN seen s USING (term) GROUP BY ALL),
+        weight AS (SELECT own, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY own)) AS w, idf FROM tpl JOIN idf USING (term)),
+        lines AS (SELECT doc_id, length(text) AS size, unnest(range(len(l))) AS line, unnest(l) AS body FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM f WHERE text IS NOT NULL) q),
+        tf AS (SELECT doc_id, line, any_value(length(body) / size) AS share, term, count(*) AS tf FROM (SELECT doc_id, line, size, body, unnest({_TERMS.format('body')}) AS term FROM lines) q GROUP BY doc_id, line, term),
+        norm AS (SELECT doc_id, line, sqrt(sum((tf.tf * coalesce(idf, {OTHER})) ** 2)) AS norm FROM tf LEFT JOIN idf USING (term) GROUP BY ALL),
+        score AS (SELECT doc_id, line, w.own, any_value(share) AS share, round(sum(tf.tf * w.idf * w.w) / any_value(norm), 6) AS score
+            FROM tf JOIN weight w USING (term) JOIN norm USING (doc_id, line) GROUP BY doc_id, line, w.own),
+        best AS (SELECT * FROM score WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, own) = 1),
+        given AS (SELECT dir, own AS given FROM best JOIN f USING (doc_id) WHERE share >= {MOSTLY} QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1)
+        SELECT f.doc_id, f.path, b.own, b.score, CAST(b.line AS INT) AS line, coalesce(b.own, g.given) AS license,
+          CASE WHEN b.own IS NOT NULL THEN 'own' WHEN g.given IS NOT NULL THEN 'inherited' END AS basis, CASE WHEN b.own IS NULL AND g.given IS NOT NULL THEN f.dir END AS from_dir
+        FROM f LEFT JOIN best b USING (doc_id) LEFT JOIN given g USING (dir)""",
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{A_Z}', '{LOWER_A_Z}') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
