@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import OFFSETS26, dealt, key_of, pairs, unkeyed
+from ..functions.grid import OFFSETS13, OFFSETS26, dealt, key_of, pairs, unkeyed
 from .components import components
-from .stencil import BRANCH, END, REGULAR, classify
+from .stencil import BRANCH, END, REGULAR, classify, degrees
 
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)
 
@@ -96,6 +96,16 @@ def protograph(voxels: DataFrame, shape: tuple[int, int, int], affine: tuple[flo
     return placed.withColumns(world).withColumn("at_sample_border", F.exists("voxels", edge_of)), edges
 
 
+def branch_counts(voxels: DataFrame) -> DataFrame:
+    """volume_id, branches of a raw skeleton: its chains between ends and junctions, a ring without either counting one."""
+    regular = ordered_path(class_components(voxels).filter(F.col("cls") == REGULAR)).groupBy("volume_id").agg(F.count("*").alias("chains"))
+    near = degrees(voxels).withColumn("node", F.col("n") != 2)
+    v = dealt(near.filter("node").select("volume_id", *unkeyed(), "n"), "n")
+    touching = pairs(v, v, OFFSETS13).filter("n < 2 or q_n < 2").groupBy("volume_id").agg(F.count("*").alias("direct"))
+    volumes = voxels.select("volume_id").distinct()
+    return volumes.join(regular, "volume_id", "left").join(touching, "volume_id", "left").select("volume_id", (F.coalesce("chains", F.lit(0)) + F.coalesce("direct", F.lit(0))).alias("branches"))
+
+
 def _of(key: Column, axis: int) -> Column:
     mask = (1 << 21) - 1
     return (F.shiftright(key, 21 * (2 - axis)).bitwiseAND(F.lit(mask).cast("long")) - 1).cast("int")
@@ -114,4 +124,4 @@ def json_points(voxels: Column) -> Column:
     return F.to_json(F.transform(voxels, lambda v: F.array(v["i"], v["j"], v["k"])))
 
 
-__all__ = ["class_components", "json_points", "key_of", "ordered_path", "protograph", "require_graph"]
+__all__ = ["branch_counts", "class_components", "json_points", "key_of", "ordered_path", "protograph", "require_graph"]

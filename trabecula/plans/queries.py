@@ -157,6 +157,26 @@ def vox_normalise(spark, d):
     return out.select("volume_id", "i", "j", "k", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+def vox_boxes(spark, d):
+    return volumes.bounding_boxes(fixture(spark, d, "skel"))
+
+
+def vox_middle_slice(spark, d):
+    rows = fixture(spark, d, "fuzzy")
+    vols = rows.select("volume_id").distinct().select("volume_id", *(F.lit(SHAPE).alias(c) for c in ("ni", "nj", "nk")))
+    return volumes.middle_slice_is_binary(rows, vols)
+
+
+def vox_branches(spark, d):
+    return protograph.branch_counts(fixture(spark, d, "skel"))
+
+
+def vox_lengths(spark, d):
+    """Lengths of the order's line items as points in a grid."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey AS path_id", "struct(l_linenumber, l_partkey, l_suppkey, l_quantity) AS nth", "l_partkey % 10 AS i", "l_suppkey % 7 AS j", "cast(l_quantity as int) AS k")
+    return volumes.polyline_lengths(items, "nth", (1.0, 2.0, 0.5)).select("path_id", F.round("length", 6).alias("length"))
+
+
 def vox_match_files(spark, d):
     parts = spark.read.parquet(f"{d}/part.parquet")
     name = "concat('out/Lnet_i', cast(p_partkey div 3 as string), '_', cast(p_partkey % 3 as string), '{}.nii.gz')"
@@ -168,7 +188,7 @@ def vox_match_files(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     vox_curves, vox_classify, vox_endpoints, vox_objects, vox_objects_fixpoint, vox_decompose, vox_buffer_counts, vox_scores, vox_evaluate, vox_report, vox_degrees, vox_cliques,
     vox_nodes, vox_graph_edges, vox_edge_lengths, vox_squared_edt, vox_significance, vox_roots, vox_roots_topmost, vox_geodesic, vox_fuzzy_distance, vox_dilation, vox_cheapest_path,
-    vox_mcp, vox_mcp_fuzzy, vox_mcp_summary, vox_thinning, vox_graph_vertices, vox_summary_arithmetic, vox_normalise, vox_match_files,
+    vox_mcp, vox_mcp_fuzzy, vox_mcp_summary, vox_thinning, vox_graph_vertices, vox_summary_arithmetic, vox_normalise, vox_match_files, vox_boxes, vox_middle_slice, vox_branches, vox_lengths,
 )}
 
 # SQL ------------------------------------------------------------------------------------------------------------------
@@ -277,6 +297,12 @@ ORACLE_SQL: dict[str, str] = {
     "vox_normalise": f"""WITH {_with('fuzzy')}, r AS (SELECT volume_id, i, j, k, CAST(value*4-1 AS FLOAT) AS value FROM fuzzy),
         m AS (SELECT volume_id, least(0, min(value)) AS lo, greatest(0, max(value)) AS hi FROM r GROUP BY ALL)
         SELECT volume_id, i, j, k, round(CAST(CAST((value-lo)/(hi-lo) AS FLOAT) AS DOUBLE), 5) AS value FROM r JOIN m USING (volume_id) WHERE value > lo""",
+    "vox_boxes": f"""WITH {_with('skel')} SELECT volume_id, count(*) AS n_voxels, CAST(min(i) AS INT) AS i0, CAST(max(i)+1 AS INT) AS i1, CAST(min(j) AS INT) AS j0, CAST(max(j)+1 AS INT) AS j1,
+        CAST(min(k) AS INT) AS k0, CAST(max(k)+1 AS INT) AS k1 FROM skel GROUP BY volume_id""",
+    "vox_middle_slice": f"""WITH {_with('fuzzy')} SELECT volume_id, count(DISTINCT CASE WHEN i = {SHAPE // 2} THEN value END) + 1 < 3 AS binary FROM fuzzy GROUP BY volume_id""",
+    "vox_lengths": """SELECT path_id, round(coalesce(sum(step), 0), 6) AS length FROM (SELECT l_orderkey AS path_id, sqrt(power(l_partkey % 10 - lag(l_partkey % 10) OVER w, 2)
+        + power(2 * (l_suppkey % 7 - lag(l_suppkey % 7) OVER w), 2) + power(0.5 * (CAST(l_quantity AS INT) - lag(CAST(l_quantity AS INT)) OVER w), 2)) AS step
+        FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) q GROUP BY path_id""",
     "vox_match_files": f"""WITH p AS (SELECT {_NAME.format('')} AS path FROM part), r AS (SELECT {_NAME.format('')} AS path FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT {_NAME.format('_ref')} FROM part WHERE p_partkey % 4 = 0 AND p_size > 10),
         ps AS (SELECT path, regexp_extract(path, 'out/(.*)\\.nii\\.gz', 1) AS s FROM p), rs AS (SELECT path, regexp_extract(path, 'out/(.*)\\.nii\\.gz', 1) AS s FROM r),
         m AS (SELECT ps.path AS pred_path, count(*) FILTER (ps.s=rs.s) AS equal, min(CASE WHEN ps.s=rs.s THEN rs.path END) AS own, count(rs.path) AS n, min(rs.path) AS any_ FROM ps LEFT JOIN rs ON starts_with(rs.s, ps.s) OR starts_with(ps.s, rs.s) GROUP BY ALL)
