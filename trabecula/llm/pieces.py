@@ -8,12 +8,12 @@ not log-probabilities, fold their merges over the same edges: the best path by t
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,12 +118,21 @@ def fold_word(word: str, v: Pieces) -> list[int]:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body with the value bound to a name: within a lambda an expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _merge_fold(edges: Column, n: Column) -> Column:
     """Bits of the cuts that stay when the best pair of neighbours whose text is a piece merges, again and again, leftmost first."""
-    long = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
-    fits = lambda m, x: ((m.bitwiseAND(x["ends"])) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1)
-    step = lambda m, _: F.coalesce(m.bitwiseAND(F.bitwise_not(F.get(F.filter(long, lambda x: fits(m, x)), F.lit(0))["inner"])), m)
-    return F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), F.expr("shiftleft(1L, n + 1) - 1L"), step)
+    fits = lambda m, x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1)
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+
+    def fold(long: Column) -> Column:
+        step = lambda m, _: F.coalesce(m.bitwiseAND(F.bitwise_not(F.get(F.filter(long, lambda x: fits(m, x)), F.lit(0))["inner"])), m)
+        return F.aggregate(steps, F.expr("shiftleft(1L, n + 1) - 1L"), step)
+
+    return let(F.filter(edges, lambda x: x["e"] - x["s"] > 1), fold)
 
 
 def _path_fold(edges: Column, n: Column, lost: float) -> Column:
@@ -136,7 +145,7 @@ def _path_fold(edges: Column, n: Column, lost: float) -> Column:
             lambda x: F.struct((F.get(a["score"], x["s"]) + F.coalesce(-x["cost"], F.lit(lost))).alias("score"), (-x["s"]).alias("far"), F.get(a["cuts"], x["s"]).alias("cuts")),
         )
         best = F.array_max(into)
-        return F.struct(F.concat(a["score"], F.array(best["score"])).alias("score"), F.concat(a["cuts"], F.array(best["cuts"].bitwiseOR(F.shiftleft(F.lit(1).cast("long"), e)))).alias("cuts"))
+        return F.struct(F.concat(a["score"], F.array(best["score"])).alias("score"), F.concat(a["cuts"], F.array(best["cuts"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e)))).alias("cuts"))
 
     return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda a: F.element_at(a["cuts"], -1))
 
@@ -150,7 +159,8 @@ def encode_words(spark: SparkSession, vocab: DataFrame, v: Pieces) -> DataFrame:
     table = spark.createDataFrame([(p, i, -s) for p, (i, s) in v.by_piece.items()], "piece string, id int, cost double")  # rows of the vocabulary file
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = vocab.select("part", "word", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
-    short = sized.filter(F.col("n") <= MASK).repartition(parts, "word")
+    # many small tasks: the edges of a task's words are sorted by word, which had better not spill
+    short = sized.filter(F.col("n") <= MASK).repartition(4 * parts, "word")
     sub = short.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).select("*", F.explode(F.sequence(F.col("s") + 1, F.least("n", F.col("s") + v.longest))).alias("e"))
     hit = sub.withColumn("piece", F.substring("w", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(table), "piece", "left").filter("id is not null or e = s + 1")
     ends, inner = _bits()
@@ -158,13 +168,24 @@ def encode_words(spark: SparkSession, vocab: DataFrame, v: Pieces) -> DataFrame:
     lattice = hit.groupBy("word").agg(F.first("part").alias("part"), F.first("w").alias("w"), F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
     lost = -(max(-s for _, s in v.by_piece.values()) + 10)
     mask = _merge_fold(F.col("edges"), F.col("n")) if v.merges else _path_fold(F.col("edges"), F.col("n"), lost)
-    cut = lattice.withColumn("mask", mask).withColumn("at", F.expr("filter(sequence(0, n), i -> (shiftright(mask, i) & 1L) = 1L)"))
-    bytes_of = f"transform(sequence(1, length(hex(encode(substring(w, k + 1, 1), 'utf-8'))), 2), h -> element_at(array({', '.join(map(str, v.byte_ids))}), cast(conv(substring(hex(encode(substring(w, k + 1, 1), 'utf-8')), h, 2), 16, 10) as int) + 1))" if v.byte_ids else f"array({v.unknown})"
-    one = "get(filter(edges, x -> x.s = at[i] and x.e = at[i + 1]), 0).id"
-    ids = F.expr(f"flatten(transform(sequence(0, size(at) - 2), i -> transform(array({one}), d -> coalesce(d, -1 - at[i]))))")
-    flat = cut.withColumn("raw", ids)
-    final = F.expr(f"flatten(transform(raw, d -> if(d >= 0, array(d), transform(array(-1 - d), k -> {bytes_of})[0])))")
-    done = flat.select("part", "word", final.alias("ids"))
+    edges, w, byte_ids = F.col("edges"), F.col("w"), F.array(*map(F.lit, v.byte_ids))
+    one = F.lit(1)
+
+    def bytes_at(s: Column) -> Column:
+        if not v.byte_ids:
+            return F.array(F.lit(v.unknown))
+        pairs = lambda h: F.transform(F.sequence(one, F.length(h), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int")))
+        return let(F.hex(F.encode(F.substring(w, s + 1, one), "utf-8")), pairs)
+
+    def ids_of(cuts: Column) -> Column:
+        def between(i: Column) -> Column:
+            piece = F.get(F.filter(edges, lambda x: (x["s"] == F.get(cuts, i)) & (x["e"] == F.get(cuts, i + 1))), F.lit(0))["id"]
+            return let(piece, lambda d: F.when(d.isNotNull(), F.array(d)).otherwise(bytes_at(F.get(cuts, i))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), between))
+
+    set_bits = lambda m: F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    done = lattice.select("part", "word", let(mask, lambda m: let(set_bits(m), ids_of)).alias("ids"))
 
     def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,16 +217,24 @@ def encode(docs: DataFrame, model: str = MODEL, with_text: bool = True) -> DataF
     place, names, prefix = {i: bytes([c]) for c, i in enumerate(v.byte_ids)} if v.byte_ids else {}, [x.replace(SPACE, " ").encode() for x in v.names], v.prefix
     texts = [place.get(i, x) for i, x in enumerate(names)]
 
+    def values(t: pa.Table) -> list[bytes]:
+        """A word's ids as the bytes of 32-bit numbers, which is what many words to a task take least room as."""
+        lists = t.column("ids").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+        raw = lists.values.to_numpy().astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
     def each(table: pa.Table, known: dict) -> pa.Table:
-        ids, decoded = [], []
+        rows, decoded = [], []
         for text in table.column("text").to_pylist():
-            row: list[int] = []
-            for w in words_of(text):
-                row += known[w]
-            ids.append(row)
+            rows.append(b"".join(map(known.__getitem__, words_of(text))))
             if with_text:
-                body = b"".join(map(texts.__getitem__, row)).decode("utf-8", "surrogatepass")
+                body = b"".join(map(texts.__getitem__, np.frombuffer(rows[-1], "<i4").tolist())).decode("utf-8", "surrogatepass")
                 decoded.append(body[1:] if prefix and body.startswith(" ") else body)
-        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32())), "n_pieces": pa.array(list(map(len, ids)), pa.int64()), "decoded": pa.array(decoded if with_text else [None] * len(ids), pa.string())})
+        sizes = [len(r) // 4 for r in rows]
+        flat = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+        return pa.table({"doc_id": table.column("doc_id"), "ids": ids, "n_pieces": pa.array(sizes, pa.int64()), "decoded": pa.array(decoded if with_text else [None] * len(rows), pa.string())})
 
-    return applied(src, found, each, lambda t: t.column("ids").to_pylist(), "doc_id long, ids array<int>, n_pieces long, decoded string")
+    return applied(src, found, each, values, "doc_id long, ids array<int>, n_pieces long, decoded string")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text of a block, text that a task holds before it sends its packets, and text of one packet of documents; all in bytes.
-BLOCK_BYTES, HELD_BYTES, DOCS_BYTES = 48 << 20, 48 << 20, 4 << 20
+BLOCK_BYTES, HELD_BYTES, DOCS_BYTES = 24 << 20, 24 << 20, 2 << 20
 
 
 def packed(table: pa.Table) -> bytes:
