@@ -22,10 +22,20 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+    values = column.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False).view(np.uint64)
     return values, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "hashes", most: int = 400_000):
+    """The batch in pieces of about `most` hashes at most, at least a row each, so that work arrays stay small."""
+    ends = np.cumsum(np.diff(flat(batch.column(column))[1])) if len(batch) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

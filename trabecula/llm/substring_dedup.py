@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, staged
-from .shingles import flat, mixed, runs, word_hashes
+from .shingles import flat, runs, slices, word_hashes
 
 WINDOW, GRAM, FAN = 20, 6, 2
 #: A window's start has the low bits of its place, 36 more bits of its hash the high ones.
@@ -56,7 +56,7 @@ def least_grams(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int)
 
 def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             hashes, offsets = flat(b.column("hashes"))
             _, at, low = least_grams(hashes, offsets, window, gram)
             at, first = np.unique(at, return_index=True)
@@ -124,10 +124,7 @@ def _windows(window: int, gram: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(b.column("positions").is_valid())
-            if not len(b):
-                continue
+        for b in (part for batch in batches for part in slices(batch.filter(batch.column("positions").is_valid()))):
             hashes, offsets = flat(b.column("hashes"))
             starts, at, _ = least_grams(hashes, offsets, window, gram)
             pos, where = flat(b.column("positions"))
