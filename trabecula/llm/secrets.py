@@ -4,10 +4,10 @@ A candidate is a run of letters, digits and + / _ = - of MIN_LENGTH characters o
 encoding is the smallest alphabet that has its characters. Three tests ask whether the token looks drawn evenly from that
 alphabet: Pearson's chi-squared for uniformity, the runs test about the alphabet's middle, and lag-1 serial correlation;
 Fisher's method joins their p-values. How random natural text looks by chance is measured, not assumed: the ASCII letters of
-every text, cut into pieces of the strata's least lengths in turn, give the null distribution of the joined score for each
-stratum of length. A candidate's p-value is the share of natural pieces of its stratum that look as random, and
-Benjamini-Hochberg within the stratum holds the false discoveries at FDR. A stratum with few natural pieces can't reach a small
-p-value and so reports nothing of its own.
+every text, cut into pieces of the least lengths in turn and written in each family of alphabets, give the null distribution of
+the joined score for each stratum of family and length. A candidate's p-value is the share of natural pieces of its stratum
+that look as random, and Benjamini-Hochberg within the stratum holds the false discoveries at FDR. A stratum with few natural
+pieces can't reach a small p-value and so reports nothing of its own.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH, FDR, BINS = 20, 0.01, 400
-STRATA = (20, 24, 32, 48, 96)  # least lengths; the last stratum is open
+LENGTHS = (20, 24, 32, 48, 96)  # least lengths of the strata; the last is open
+#: Families of alphabets: the one that natural text is written in for them, and the encodings that they hold.
+FAMILIES = (("base32", ("HEX", "base32")), ("lower36", ("hex", "lower36")), ("base62", ("base62", "base64", "base64url")))
+STRATA = len(FAMILIES) * len(LENGTHS)
 #: Alphabets in the order of their collating, smallest first.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
@@ -63,15 +66,20 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def encoding_of(token: str) -> str | None:
+    """The smallest alphabet that has the token's characters, but for = at its end."""
+    chars = set(token.rstrip("="))
+    return next((name for name, _, members in _INDEX if chars <= members), None)
+
+
 def randomness(token: str) -> float | None:
     """log10 of the joined p-value that the token is drawn evenly from its inferred alphabet; None if no alphabet has it."""
     body = token.rstrip("=")
     chars = set(body)
-    for _, index, members in _INDEX:
-        if chars <= members:
-            break
-    else:
+    name = encoding_of(token)
+    if name is None:
         return None
+    index = next(index for e, index, _ in _INDEX if e == name)
     n, k = len(body), len(index)
     if n < 8:
         return None
@@ -120,39 +128,40 @@ def randomness_rows(x: np.ndarray, k: int) -> np.ndarray:
     return -h / math.log(10) + np.log10(1 + h + h * h / 2)
 
 
-def _places() -> np.ndarray:
-    out = np.zeros((3, 256), np.int64)
-    for row, name in zip(out, ("base32", "lower36", "base62")):
-        for c, i in next(index for e, index, _ in _INDEX if e == name).items():
-            row[ord(c)] = i
+def _places(name: str) -> np.ndarray:
+    """Places in the alphabet by byte; letters of the case that it lacks have that of the other."""
+    out = np.zeros(256, np.int64)
+    index = next(index for e, index, _ in _INDEX if e == name)
+    for c in map(chr, range(128)):
+        out[ord(c)] = index.get(c, index.get(c.swapcase(), 0))
     return out
 
 
 def natural_cells(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """letters: bytes a-z and A-Z of the texts one after another, sizes: how many each has. -> counts by stratum * BINS + bin.
 
-    Every text is cut into pieces of the strata's least lengths in turn, again and again; a piece that it ends in doesn't count.
+    Every text is cut into pieces of the least lengths in turn, again and again; a piece that it ends in doesn't count.
     """
-    out = np.zeros(len(STRATA) * BINS, np.int64)
-    places, turn, at = _places(), sum(STRATA), 0
+    out = np.zeros(STRATA * BINS, np.int64)
+    tables = [(_places(name), len(next(a for e, a in ENCODINGS if e == name))) for name, _ in FAMILIES]
+    turn, at = sum(LENGTHS), 0
     begin = np.cumsum(sizes) - sizes
-    for s, n in enumerate(STRATA):
+    for length, n in enumerate(LENGTHS):
         times = np.maximum((sizes - at - n) // turn + 1, 0)
         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         starts = np.repeat(begin + at, times) + nth * turn
         at += n
         for i in range(0, len(starts), 8192):
             rows = letters[starts[i : i + 8192, None] + np.arange(n)]
-            lower = (rows >= 97).sum(1)
-            for row, (chosen, k) in enumerate(((lower == 0, 32), (lower == n, 36), ((lower > 0) & (lower < n), 62))):
-                if chosen.any():
-                    bins = np.minimum(BINS - 1, (-randomness_rows(places[row][rows[chosen]], k) * 10).astype(np.int64))
-                    out[s * BINS : (s + 1) * BINS] += np.bincount(np.maximum(bins, 0), minlength=BINS)
+            for family, (places, k) in enumerate(tables):
+                bins = np.clip((-randomness_rows(places[rows], k) * 10).astype(np.int64), 0, BINS - 1)
+                s = family * len(LENGTHS) + length
+                out[s * BINS : (s + 1) * BINS] += np.bincount(bins, minlength=BINS)
     return out
 
 
-def stratum_of(n: int) -> int:
-    return sum(n >= x for x in STRATA[1:])
+def stratum_of(n: int, encoding: str) -> int:
+    return next(f for f, (_, names) in enumerate(FAMILIES) if encoding in names) * len(LENGTHS) + sum(n >= x for x in LENGTHS[1:])
 
 
 def bin_of(score: float) -> int:
@@ -163,7 +172,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))), ("cands", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("stratum", pa.int32()), ("bin", pa.int32())]))), ("natural", pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())])))])
     for b in batches:
         rows = []
-        natural, letters, held = np.zeros(len(STRATA) * BINS, np.int64), [], 0
+        natural, letters, held = np.zeros(STRATA * BINS, np.int64), [], 0
         for text in b.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
@@ -173,7 +182,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or any(x[0] < m.end() and m.start() < x[2] for x in base):
                     continue
                 if (score := randomness(token)) is not None:
-                    cands.append({"s": m.start(), "e": m.end(), "stratum": stratum_of(len(token)), "bin": bin_of(score)})
+                    cands.append({"s": m.start(), "e": m.end(), "stratum": stratum_of(len(token), encoding_of(token)), "bin": bin_of(score)})
             letters.append(text.encode("utf-8", "surrogatepass").translate(None, NOT_LETTERS))
             held += len(letters[-1])
             if held > 4_000_000:
@@ -191,7 +200,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def thresholds(counts: dict[tuple[str, int, int], int], fdr: float = FDR) -> dict[int, int]:
     """counts by (natural or cands, stratum, bin) -> for each stratum the last bin that Benjamini-Hochberg still reports."""
     out = {}
-    for s in range(len(STRATA)):
+    for s in range(STRATA):
         natural = [counts.get(("natural", s, b), 0) for b in range(BINS)]
         found = [counts.get(("cands", s, b), 0) for b in range(BINS)]
         below = above = 0
@@ -208,7 +217,7 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     Null texts are empty and have no spans; the digest is then that of the empty string. Spans are of code points, end
     exclusive. Repeated rows are scanned alike. Null ids stay null. Empty tables give empty results; other columns aren't read.
     The counts that set the thresholds cover the whole table: natural runs and candidates by stratum and bin, at most
-    2 * 5 * BINS cells, are what the driver gathers.
+    2 * STRATA * BINS cells, are what the driver gathers.
     """
     found = staged(docs.select("doc_id", "text").mapInArrow(_scan, FOUND), "secrets")
     natural = found.select(F.explode("natural").alias("x")).select(F.lit("natural").alias("what"), F.floor(F.col("x.cell") / BINS).cast("int").alias("stratum"), (F.col("x.cell") % BINS).alias("bin"), "x.n")
@@ -216,7 +225,7 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     cells = natural.unionByName(cands).groupBy("what", "stratum", "bin").agg(F.sum("n")).collect()
     limits = thresholds({(r[0], r[1], r[2]): r[3] for r in cells}, fdr)
     kinds = F.array(*map(F.lit, KINDS))
-    per_stratum = F.array(*(F.lit(limits.get(s, -1)) for s in range(len(STRATA))))
+    per_stratum = F.array(*(F.lit(limits.get(s, -1)) for s in range(STRATA)))
     added = F.transform(F.filter("cands", lambda x: x["bin"] <= F.element_at(per_stratum, x["stratum"] + 1)), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", added))).alias("spans"), F.size(added).alias("n_random"))
