@@ -25,6 +25,14 @@ def cases(spark):
     return table(spark, *(c for c, _ in CASES)).cache()
 
 
+def test_tubes_cover_every_part(spark, tmp_path):
+    from trabecula.plans.fixtures import fixture
+
+    spark.range(100).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("skel", "tube", "fuzzy"):
+        assert {r.volume_id for r in fixture(spark, str(tmp_path), name).select("volume_id").distinct().collect()} == set(range(13)), name
+
+
 def test_offsets_and_balls():
     assert (len(OFFSETS26), len(OFFSETS13), len(OFFSETS6)) == (26, 13, 6)
     assert len(voxel_ball(0)) == 1 and len(voxel_ball(1)) == 7 and len(voxel_ball(1.5)) == 19

@@ -32,7 +32,7 @@ def pred_sql(dialect: str) -> str:
 def tube_sql(dialect: str) -> str:
     steps = ", ".join(f"({a}, {b}, {c})" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if abs(a) + abs(b) + abs(c) <= 2)
     return f"""SELECT DISTINCT volume_id, CAST(i+di+1 AS INT) AS i, CAST(j+dj+1 AS INT) AS j, CAST(k+dk+1 AS INT) AS k
-      FROM ({skel_sql(dialect)}) s CROSS JOIN (VALUES {steps}) AS o(di, dj, dk) WHERE volume_id < 8"""
+      FROM ({skel_sql(dialect)}) s CROSS JOIN (VALUES {steps}) AS o(di, dj, dk)"""
 
 
 def fuzzy_sql(dialect: str) -> str:
