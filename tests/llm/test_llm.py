@@ -302,6 +302,22 @@ def test_licenses(spark):
     assert got[6].score == got[9].score == 1.0 and got[1].line == 0
 
 
+def test_licenses_of_blocks_and_whole_texts(spark):
+    from trabecula.llm.licenses import license_scan, license_texts
+
+    texts = dict(license_texts())
+    wrap = lambda t, w=60: "\n".join(re.findall(rf"\S.{{0,{w}}}(?=\s|$)", t))
+    files = [(n, f"f{n}/LICENSE", text, name) for n, (name, text) in enumerate((k, v if len(v) > 5000 else "Copyright (c) 2020 A. Person\n\n" + wrap(v)) for k, v in texts.items())]
+    files += [
+        (100, "a/x.c", "/*\n * This work is licensed under the GNU General Public\n * License, version 2.\n */\nint x;", "GPL-2.0"), (101, "b/x.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        (102, "c/x.py", "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with\n# the License. You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport x", "Apache-2.0"),
+        (103, "d/LICENSE", "MIT License\n\nCopyright (c) 2020", "MIT"), (104, "e/x.c", "// SPDX-License-Identifier: Zlib\nint x;", None), (105, "f/x.c", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+    ]
+    files += [(200 + i, f"g{i}/a.c", prose(random.Random(i), 50), None) for i in range(30)] + [(300, "f0/src/a.c", "int x;", list(texts)[0])]
+    got = {r.file_id: r.license for r in license_scan(spark.createDataFrame([f[:3] for f in files], "file_id long, path string, text string")).collect()}
+    assert got == {f[0]: f[3] for f in files}
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline as p
 
