@@ -244,6 +244,26 @@ def test_secrets(spark, corpus):
     assert np.allclose(secrets.randomness_rows(x[keep], 36), [secrets.randomness(text[n]) for n in keep])
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    from trabecula.llm import secrets
+
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    forms = (("AWS_SECRET_ACCESS_KEY=", 40, ""), ("https://a.b/?sig=", 24, "&c=d"), ("auth=", 26, ""), ("/my-app/v1/files/", 40, "/x-y"), ("k=", 30, "=="))
+    tokens = {10 * n + i: (a, token(k), z) for n, (a, k, z) in enumerate(forms) for i in range(8)}
+    natural = [(3000 + i, prose(rng, 400), "s") for i in range(400)]  # so many that the tokens' own letters hardly count
+    scan = lambda rows: {r.doc_id: r.spans for r in secrets.secret_scan(table(spark, rows + natural)).collect()}
+    glued = scan([(i, a + t + z, "s") for i, (a, t, z) in tokens.items()])
+    alone = scan([(i, f"to {t}{'=' * z.count('=') if z == '==' else ''}", "s") for i, (a, t, z) in tokens.items()])
+    shifted = {i: re.sub(r"\d+", lambda m: str(int(m[0]) - len(tokens[i][0]) + 3), glued[i]) for i in tokens}  # noqa: B023
+    assert {i: shifted[i] for i in tokens if tokens[i][0][0] != "/"} == {i: alone[i] for i in tokens if tokens[i][0][0] != "/"}
+    for i, (a, t, _) in tokens.items():
+        if len(t) == 40:  # what surrounds a token in a path may be reported with it
+            _, s, e = glued[i].split(":")
+            assert int(s) <= len(a) and len(a) + 40 <= int(e)
+    assert secrets.parts("a" * 20 + "=") == [(0, 21)] and secrets.parts("=" * 30) == []
+
+
 def test_quality(spark):
     from trabecula.llm.quality import quality_scores
 

@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a randomness test battery over long tokens with false-discovery control.
 
-A candidate is a run of letters, digits and + / _ = - of MIN_LENGTH characters or more that holds a letter and a digit. Its
+A candidate is a run of letters, digits and + / _ = - of MIN_LENGTH characters or more that holds a letter and a digit. Runs are
+cut at = but for padding at their end, and what then fits no alphabet at + and /, at - and _, and at all four: each part is a
+candidate, and of overlapping ones that are reported the most random stays. Its
 encoding is the smallest alphabet that has its characters. Three tests ask whether the token looks drawn evenly from that
 alphabet: Pearson's chi-squared for uniformity, the runs test about the alphabet's middle, and lag-1 serial correlation;
 Fisher's method joins their p-values. How random natural text looks by chance is measured, not assumed: the ASCII letters of
@@ -28,6 +30,8 @@ ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 and more
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")
+SPLITS = tuple(re.compile(f"[^{c}]+") for c in ("+/", "_-", "+/_-"))
 #: A keyword of ASSIGN holds one of these, whatever its case.
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
@@ -72,6 +76,17 @@ def encoding_of(token: str) -> str | None:
     return next((name for name, _, members in _INDEX if chars <= members), None)
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the run's candidates: what = parts in it, or where no alphabet has that, what its separators part."""
+    out = set()
+    for m in VALUE.finditer(run):
+        if encoding_of(m.group()):
+            out.add(m.span())
+        else:
+            out |= {(m.start() + p.start(), m.start() + p.end()) for split in SPLITS for p in split.finditer(m.group())}
+    return sorted((s, e) for s, e in out if e - s >= MIN_LENGTH)
+
+
 def randomness(token: str) -> float | None:
     """log10 of the joined p-value that the token is drawn evenly from its inferred alphabet; None if no alphabet has it."""
     body = token.rstrip("=")
@@ -177,12 +192,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             base = base_spans(text)
             cands = []
-            for m in RUN.finditer(text):
-                token = m.group()
-                if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or any(x[0] < m.end() and m.start() < x[2] for x in base):
+            for s, e in ((m.start() + a, m.start() + b) for m in RUN.finditer(text) for a, b in parts(m.group())):
+                token = text[s:e]
+                if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or any(x[0] < e and s < x[2] for x in base):
                     continue
                 if (score := randomness(token)) is not None:
-                    cands.append({"s": m.start(), "e": m.end(), "stratum": stratum_of(len(token), encoding_of(token)), "bin": bin_of(score)})
+                    cands.append({"s": s, "e": e, "stratum": stratum_of(len(token), encoding_of(token)), "bin": bin_of(score)})
             letters.append(text.encode("utf-8", "surrogatepass").translate(None, NOT_LETTERS))
             held += len(letters[-1])
             if held > 4_000_000:
@@ -226,6 +241,10 @@ def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     limits = thresholds({(r[0], r[1], r[2]): r[3] for r in cells}, fdr)
     kinds = F.array(*map(F.lit, KINDS))
     per_stratum = F.array(*(F.lit(limits.get(s, -1)) for s in range(STRATA)))
-    added = F.transform(F.filter("cands", lambda x: x["bin"] <= F.element_at(per_stratum, x["stratum"] + 1)), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
+    over = F.filter("cands", lambda x: x["bin"] <= F.element_at(per_stratum, x["stratum"] + 1))
+    ranked = F.array_sort(F.transform(over, lambda x: F.struct(x["bin"].alias("bin"), (x["s"] - x["e"]).alias("short"), x["s"].alias("s"), x["e"].alias("e"))))
+    apart = lambda a, x: F.when(F.exists(a, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), a).otherwise(F.concat(a, F.array(x)))
+    best = F.aggregate(ranked, F.array().cast("array<struct<bin:int,short:int,s:int,e:int>>"), apart)
+    added = F.transform(best, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.array_sort(F.concat("base", added))).alias("spans"), F.size(added).alias("n_random"))
