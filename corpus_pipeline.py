@@ -5,36 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import bucket_of, table
+from trabecula.llm.common import A_Z, LOWER_A_Z, bucket_of, table
 from trabecula.llm.exact_dedup import exact_dedup
 from trabecula.llm.mixing import mix
-from trabecula.llm.near_dups import near_duplicates
+from trabecula.llm.near_dups import near_duplicates, with_nodes
 from trabecula.llm.pieces import encode
 from trabecula.llm.quality import fit, scored
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in gone, merged at every size. A null id is no key: rows that have it stay."""
-    return docs.join(gone.filter("doc_id is not null").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
+def unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs, which have the column key, but for the rows whose id and key are in gone, merged at every size. Rows of null ids stay."""
+    return docs.join(gone.filter("doc_id is not null").select("doc_id", key).distinct().hint("merge"), ["doc_id", key], "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier scores 0.5 or more. It learns from the same fold of the labels as op9."""
     labels = table(spark, sf_dir, "labels")
-    name = "quality_score"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "quality_score")
     return scored(docs, fit(docs, labels.filter(bucket_of("doc_id", 3) != 1)), name).filter(F.col(name) >= 0.5).select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts, the one with the largest doc_id."""
-    return without(docs, exact_dedup(docs).filter("not kept"))
+    key = unused(docs, "exact_key")
+    own = docs.withColumn(key, F.sha2(F.translate(F.coalesce("text", F.lit("")), A_Z, LOWER_A_Z).cast("binary"), 256))
+    return without(own, exact_dedup(docs).filter("not kept").withColumnRenamed("text_sha256", key), key).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near copies, the one with the smallest doc_id."""
-    return without(docs, near_duplicates(docs).filter("doc_id <> class_id"))
+    key = unused(docs, "near_key")
+    return without(with_nodes(docs, key), near_duplicates(docs, with_node=True).filter("doc_id <> class_id").withColumnRenamed("node", key), key).select(docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,3 +359,14 @@ def test_pipeline(spark, corpus, tmp_path):
     assert near < exact and sorted(i for i in near if 40 <= i < 60) == [45, 46] and mixed <= near
     out = p.run(spark, d).collect()
     assert Counter(r.doc_id for r in out) == Counter(kept[3])
+
+
+def test_pipeline_removes_only_the_judged_rows(spark):
+    import corpus_pipeline as p
+
+    base = prose(random.Random(3), 100)
+    rows = [(5, "A"), (5, "B"), (9, "a"), (20, base), (21, base + " more"), (21, "quite another text than that"), (None, "b")]
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    left = lambda out: sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert left(p.exact_stage(spark, docs, "")) == sorted((str(i), t) for i, t in rows if (i, t) != (5, "A"))
+    assert left(p.near_stage(spark, docs.filter("doc_id >= 20"), "")) == sorted((str(i), t) for i, t in rows if i in (20, 21) and t != base + " more")

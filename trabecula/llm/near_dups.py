@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged
 from .graph import components
@@ -77,6 +78,19 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
     return run
 
 
+def with_nodes(docs: DataFrame, name: str, n: int = N) -> DataFrame:
+    """docs with the hash of each text's set of n-word runs as a column of that name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, offsets = flat(batch.column(batch.num_columns - 1))
+            nodes = pa.array([node_of(grams) for grams in sets_of(hashes, offsets, n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], [*batch.schema.names[:-1], name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    return docs.select("*", word_hashes(F.col("text")).alias(name)).mapInArrow(run, schema)
+
+
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right], by products of 0/1 columns; n-grams of one set only have none."""
     sizes = np.array([len(s) for s in sets])
@@ -144,8 +158,8 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row for each row: doc_id, class_id, set_id, n_copies, n_links.
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES, with_node: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> one row for each row: doc_id, class_id, set_id, n_copies, n_links; with_node adds node, the set's hash.
 
     set_id is the smallest doc_id of the rows with the same set of n-word runs, n_copies their number. n_links counts the other
     sets whose Jaccard similarity with it is at least the threshold; class_id is the smallest doc_id that such links and equal
@@ -176,4 +190,4 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     named = staged(named, "near-nodes")
     first = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
     out = signed.select("doc_id", "node").join(named.join(first, "root").select("node", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "node")
-    return out.select("doc_id", "class_id", "set_id", "n_copies", "n_links")
+    return out.select("doc_id", "class_id", "set_id", "n_copies", "n_links", *(["node"] if with_node else []))
