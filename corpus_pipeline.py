@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import A_Z, LOWER_A_Z, bucket_of, table
+from trabecula.llm.common import A_Z, LOWER_A_Z, bucket_of, staged, table
 from trabecula.llm.exact_dedup import exact_dedup
 from trabecula.llm.mixing import mix
 from trabecula.llm.near_dups import near_duplicates, with_nodes
@@ -73,6 +73,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = staged(docs, f"pipeline-{n}")
     return docs

@@ -370,3 +370,14 @@ def test_pipeline_removes_only_the_judged_rows(spark):
     left = lambda out: sorted((str(r.doc_id), r.text) for r in out.collect())
     assert left(p.exact_stage(spark, docs, "")) == sorted((str(i), t) for i, t in rows if (i, t) != (5, "A"))
     assert left(p.near_stage(spark, docs.filter("doc_id >= 20"), "")) == sorted((str(i), t) for i, t in rows if i in (20, 21) and t != base + " more")
+
+
+def test_pipeline_stages_are_written(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    seen = []
+    step = lambda spark, docs, d: seen.append(docs) or docs.selectExpr("id + 1 AS id")
+    monkeypatch.setattr(p, "STAGES", [(str(n), step) for n in range(3)])
+    monkeypatch.setattr(p, "table", lambda *_: spark.range(4))
+    assert sorted(r.id for r in p.run(spark, "").collect()) == [3, 4, 5, 6]
+    assert [bool(x.inputFiles()) for x in seen] == [False, True, True]
