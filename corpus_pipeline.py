@@ -56,8 +56,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left: doc_id, n_pieces, ids."""
-    return encode(docs, with_text=False).select("doc_id", "n_pieces", "ids")
+    """Encodes what is left and decodes it again: doc_id, n_pieces, ids, decoded_sha256."""
+    return encode(docs).select("doc_id", "n_pieces", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -67,7 +67,7 @@ STAGES = [
     ("mixing sources", mix_stage),
     ("SentencePiece", pieces_stage),
 ]
-#: The stages' scores, hashes and token ids have no SQL; tests hold run() against a brute-force version.
+#: The stages' scores, hashes and token ids have no SQL; tests hold the exact stage, the ids and the decoded texts against plain Python.
 ORACLE_SQL = None
 
 

@@ -381,3 +381,14 @@ def test_pipeline_stages_are_written(spark, monkeypatch):
     monkeypatch.setattr(p, "table", lambda *_: spark.range(4))
     assert sorted(r.id for r in p.run(spark, "").collect()) == [3, 4, 5, 6]
     assert [bool(x.inputFiles()) for x in seen] == [False, True, True]
+
+
+def test_pipeline_decodes(spark, corpus):
+    import corpus_pipeline as p
+    import sentencepiece
+
+    from trabecula.llm import pieces
+
+    sp, texts = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), {i: t or "" for i, t, _ in corpus}
+    got = p.pieces_stage(spark, table(spark, corpus), "").collect()
+    assert {r.doc_id: (r.ids, r.decoded_sha256) for r in got} == {i: (sp.encode(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
