@@ -79,6 +79,13 @@ def test_protograph(spark, cases):
         protograph.require_graph(*protograph.protograph(table(spark, [(1, 1, 1)]), (3, 3, 3)))
 
 
+def test_registered_nodes_hold_those_of_rings(cases, monkeypatch):
+    from trabecula.plans import queries
+
+    monkeypatch.setattr(queries, "fixture", lambda *_: cases)
+    assert [r.kind for r in queries.QUERIES["vox_graph_nodes"](None, "").filter("volume_id = 2").collect()] == ["synthetic_loop"]
+
+
 def test_protograph_holds_to_the_sequential_rules(spark):
     rng = random.Random(5)
     sets = [sorted({tuple(rng.randrange(4) for _ in range(3)) for _ in range(rng.randrange(3, 22))}) for _ in range(40)]
