@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,19 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local session may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "/tmp/checkpoints/trabecula"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = f"{tempfile.gettempdir()}/trabecula-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again: the plan is cut there and a lost executor costs no recomputation."""
-    path = at or shared_dir(df.sparkSession, name)
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: the plan is cut there and a lost executor costs no recomputation.
+
+    The table goes when the session's JVM ends, or with discard() as soon as nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    store, at = _place(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "staged_at", None):
+            store, at = _place(t.sparkSession, path)
+            store.delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of what has been written; they would stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

@@ -1,32 +1,33 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 The different words of the corpus are exploded into their substrings of up to the longest piece's length; an equi-join with the
-piece table, whose size the vocabulary file bounds, leaves the edges of each word's lattice; they are grouped by word and
-folded by a higher-order aggregate. Unigram models fold Viterbi's best path. BPE models, whose scores are ranks of merges and
-not log-probabilities, fold their merges over the same edges: the best path by those scores is not what the tokenizer gives.
+piece table, whose size the vocabulary file bounds, leaves the edges of each word's lattice; they are grouped by word and a
+higher-order aggregate folds Viterbi's best path over them. Unigram models bring log-probabilities as scores. The scores of a
+BPE model are ranks of merges, which Zipf's law turns into log-probabilities; the pieces of its best path are the most likely
+ones, not always those that the model's merges make. `merges=True` replays the merges instead, word by word.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
-from .vocabulary import answers, applied, block_column, parts_of, vocabulary, word_packets
+from .common import discard, release, staged
+from .vocabulary import Blocks, strings, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: What a text falls into before it is looked up: line breaks, words with the spaces before them. No piece crosses these.
-WORDS = re.compile(r"\n+|\x20+[^\x20\n]*|[^\x20\n]+")
 SPACE = "▁"
-#: Words of up to so many characters fit the bits of a mask; longer ones are folded in Python.
-MASK = 60
+#: Costs are whole numbers of this part of a natural logarithm, so that sums are exact; what a character that is no piece costs
+#: more than the dearest piece; states of a word's fold that are put away together, as an array grows by being copied.
+UNIT, LOST, CHUNK = 1 << 14, 10, 256
 
 
 @dataclass
@@ -40,10 +41,17 @@ class Pieces:
     merges: bool
     prefix: bool
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.by_piece))
 
+    @cached_property
+    def costs(self) -> dict[str, int]:
+        """-ln of the pieces' weights, in UNITs: a unigram model's scores as they stand, a BPE model's ranks by Zipf's law to a 1024th."""
+        if self.merges:
+            return {p: round(1024 * math.log(i + 2.7)) * (UNIT // 1024) for p, (i, _) in self.by_piece.items()}
+        return {p: round(-s * UNIT) for p, (_, s) in self.by_piece.items()}
+
 
 def load(path: str = MODEL) -> Pieces:
     """Reads a model file on the driver. Only models that keep texts as they are and whose pieces don't cross words are taken."""
@@ -65,134 +73,160 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(by_piece, byte_ids if any(byte_ids) else [], sp.unk_id(), [p.piece for p in m.pieces], m.trainer_spec.model_type == m.trainer_spec.BPE, m.normalizer_spec.add_dummy_prefix)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text with the space that is put before it; together they are that text."""
-    return WORDS.findall(" " + text) if text else []
-
-
-def fold_word(word: str, v: Pieces) -> list[int]:
-    """The same fold for one word, of any length, in O(n log n) merges or O(n * longest) edges."""
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each text with the space that is put before it, together that text: line breaks, and words with the spaces before them."""
+    data, at = text_bytes(texts, b" ")
+    space, line = data == 32, data == 10
+    first = np.zeros(len(data), bool)
+    first[1:] = (line[1:] & ~line[:-1]) | (space[1:] & ~space[:-1]) | (~space[1:] & ~line[1:] & line[:-1])
+    first[at[:-1][np.diff(at) > 0]] = True
+    starts = np.flatnonzero(first)
+    return strings(data, starts), np.diff(np.searchsorted(starts, at))
+
+
+def best_path(word: str, v: Pieces) -> list[int]:
+    """Viterbi's path of one word in plain Python, which the fold in Spark must equal; of equal paths the longest last piece wins."""
+    w, costs = word.replace(" ", SPACE), v.costs
+    lost = max(costs.values()) + LOST * UNIT
+    states: list[tuple[int, int]] = [(0, -1)]
+    for e in range(1, len(w) + 1):
+        into = [(states[s][0] + costs[w[s:e]], s) for s in range(max(0, e - v.longest), e) if w[s:e] in costs]
+        if w[e - 1 : e] not in costs:
+            into.append((states[e - 1][0] + lost, e - 1))
+        states.append(min(into))
+    spans, e = [], len(w)
+    while e:
+        spans.append((states[e][1], e))
+        e = states[e][1]
+    return _ids(w, spans[::-1], v)
+
+
+def merged(word: str, v: Pieces) -> list[int]:
+    """A word's ids by a BPE model's merges: the best pair of neighbours merges, leftmost first, again and again."""
     w = word.replace(" ", SPACE)
     n = len(w)
-    if v.merges:
-        right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[float, int, int, int]] = []
+    right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = right[a]
+        if b < n and (x := v.by_piece.get(w[a : right[b]])) is not None:
+            heapq.heappush(heap, (-x[1], a, b, right[b]))
+
+    for a in range(n):
+        offer(a)
+    while heap:
+        _, a, b, end = heapq.heappop(heap)
+        if alive[a] and b < n and alive[b] and right[a] == b and right[b] == end:
+            alive[b], right[a] = False, end
+            if end < n:
+                left[end] = a
+            offer(a)
+            if left[a] >= 0:
+                offer(left[a])
+    return _ids(w, [(a, right[a]) for a in range(n) if alive[a]], v)
 
-        def offer(a: int) -> None:
-            b = right[a]
-            if b < n and (x := v.by_piece.get(w[a : right[b]])) is not None:
-                heapq.heappush(heap, (-x[1], a, b, right[b]))
 
-        for a in range(n):
-            offer(a)
-        while heap:
-            _, a, b, end = heapq.heappop(heap)
-            if alive[a] and b < n and alive[b] and right[a] == b and right[b] == end:
-                alive[b], right[a] = False, end
-                if end < n:
-                    left[end] = a
-                offer(a)
-                if left[a] >= 0:
-                    offer(left[a])
-        spans = [(a, right[a]) for a in range(n) if alive[a]]
-    else:
-        lost = min(s for _, s in v.by_piece.values()) - 10
-        best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        for s in range(n):
-            for e in range(s + 1, min(n, s + v.longest) + 1):
-                x = v.by_piece.get(w[s:e])
-                score = best[s] + (x[1] if x else lost) if x or e == s + 1 else None
-                if score is not None and score > best[e]:
-                    best[e], back[e] = score, s
-        spans, e = [], n
-        while e:
-            spans.append((back[e], e))
-            e = back[e]
-        spans.reverse()
+def _ids(w: str, spans: list[tuple[int, int]], v: Pieces) -> list[int]:
     out = []
     for s, e in spans:
         if (x := v.by_piece.get(w[s:e])) is not None:
             out.append(x[0])
         else:
-            out += [v.byte_ids[c] for c in w[s:e].encode("utf-8", "surrogatepass")] if v.byte_ids else [v.unknown]
+            out += [v.byte_ids[c] for c in w[s:e].encode()] if v.byte_ids else [v.unknown]
     return out
 
 
+def _merge_words(vocab: DataFrame, v: Pieces) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([merged(w, v) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("super", "part", "word")), ids], ["super", "part", "word", "ids"])
+
+    return vocab.select("super", "part", "word").mapInArrow(run, "super int, part int, word string, ids array<int>")
+
+
 def let(value: Column, body) -> Column:
     """body with the value bound to a name: within a lambda an expression would be evaluated for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Bits of the cuts that stay when the best pair of neighbours whose text is a piece merges, again and again, leftmost first."""
-    fits = lambda m, x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1)
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+def _path_fold(chunks: Column, n: Column, v: Pieces) -> Column:
+    """Ids of Viterbi's path; a character that is no piece gives -1 less its place.
 
-    def fold(long: Column) -> Column:
-        step = lambda m, _: F.coalesce(m.bitwiseAND(F.bitwise_not(F.get(F.filter(long, lambda x: fits(m, x)), F.lit(0))["inner"])), m)
-        return F.aggregate(steps, F.expr("shiftleft(1L, n + 1) - 1L"), step)
+    chunks has the edges by CHUNK of their ends: end, length below 0, and a number: the cost, then what is left of the longest
+    length, so that of equal costs the longest piece wins, then the id. A state is the least such number with the costs before.
+    """
+    id_bits, length_bits = _bits(v)
+    low, ids, lengths = id_bits + length_bits, (1 << id_bits) - 1, (1 << length_bits) - 1
+
+    def steps(done: Column, edges: Column) -> Column:
+        k = F.size(done)
+        # a chunk starts from the states that its edges may come from
+        before = F.when(k == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice(F.element_at(done, -1), -v.longest, v.longest))
+
+        def step(now: Column, e: Column) -> Column:
+            into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.element_at(now, x["back"]).bitwiseAND(-1 << low) + x["weight"])
+            return F.concat(now, F.array(F.array_min(into)))
 
-    return let(F.filter(edges, lambda x: x["e"] - x["s"] > 1), fold)
+        return F.concat(done, F.array(F.aggregate(F.sequence(k * CHUNK + 1, F.least(n, k * CHUNK + CHUNK)), before, step)))
 
+    states = F.aggregate(chunks, F.array().cast("array<array<bigint>>"), steps)
 
-def _path_fold(edges: Column, n: Column, lost: float) -> Column:
-    """Bits of the cuts of Viterbi's path: for each end the best score and the cuts before it, carried in arrays."""
-    first = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.lit(1).cast("long")).alias("cuts"))
+    def walk(states: Column) -> Column:
+        def take(a: Column, x: Column) -> Column:
+            number = x.bitwiseAND(ids).cast("int")
+            return F.when(a["e"] > a["cut"], F.struct((a["e"] - 1).alias("e"), a["cut"].alias("cut"), a["found"].alias("found"))).otherwise(
+                F.struct((a["e"] - 1).alias("e"), (a["e"] - v.longest + F.shiftright(x, id_bits).bitwiseAND(lengths).cast("int")).alias("cut"), F.concat(a["found"], F.array(F.when(number == len(v.names), -a["e"]).otherwise(number))).alias("found"))
+            )
 
-    def step(a: Column, e: Column) -> Column:
-        into = F.transform(
-            F.filter(edges, lambda x: x["e"] == e),
-            lambda x: F.struct((F.get(a["score"], x["s"]) + F.coalesce(-x["cost"], F.lit(lost))).alias("score"), (-x["s"]).alias("far"), F.get(a["cuts"], x["s"]).alias("cuts")),
-        )
-        best = F.array_max(into)
-        return F.struct(F.concat(a["score"], F.array(best["score"])).alias("score"), F.concat(a["cuts"], F.array(best["cuts"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e)))).alias("cuts"))
+        def takes(a: Column, k: Column) -> Column:
+            chunk = F.get(states, k)
+            own = F.reverse(F.slice(chunk, F.when(k == 0, 2).otherwise(v.longest + 1), F.lit(CHUNK)))
+            first = F.struct(a["e"].alias("e"), a["cut"].alias("cut"), F.array().cast("array<int>").alias("found"))
+            return let(F.aggregate(own, first, take), lambda x: F.struct(x["e"].alias("e"), x["cut"].alias("cut"), F.concat(a["found"], F.array(x["found"])).alias("found")))
 
-    return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda a: F.element_at(a["cuts"], -1))
+        start = F.struct(n.alias("e"), n.alias("cut"), F.array().cast("array<array<int>>").alias("found"))
+        return F.aggregate(F.sequence(F.size(states) - 1, F.lit(0), F.lit(-1)), start, takes, lambda a: F.reverse(F.flatten(a["found"])))
 
+    return let(states, walk)
 
-def _bits() -> tuple[Column, Column]:
-    return F.expr("shiftleft(1L, s) | shiftleft(1L, e)"), F.expr("(shiftleft(1L, e) - 1L) ^ (shiftleft(1L, s + 1) - 1L)")
+
+def _bits(v: Pieces) -> tuple[int, int]:
+    """Bits of an id, with one more for what is no piece, and of a length."""
+    return len(v.names).bit_length(), v.longest.bit_length()
 
 
 def encode_words(spark: SparkSession, vocab: DataFrame, v: Pieces) -> DataFrame:
-    """vocab(part, word) -> part, word, ids."""
-    table = spark.createDataFrame([(p, i, -s) for p, (i, s) in v.by_piece.items()], "piece string, id int, cost double")  # rows of the vocabulary file
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = vocab.select("part", "word", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
+    """vocab(super, part, word) of words that aren't empty -> super, part, word, ids."""
+    costs, (id_bits, length_bits) = v.costs, _bits(v)
+    weight = lambda cost, id, length: (cost << length_bits | v.longest - length) << id_bits | id
+    # rows of the vocabulary file; a join on numbers is faster than one on strings, which are compared where the numbers agree
+    table = spark.createDataFrame([(p, weight(costs[p], i, len(p))) for p, (i, _) in v.by_piece.items()], "name string, weight long").withColumn("hash", F.xxhash64("name"))
+    lost = weight(max(costs.values()) + LOST * UNIT, len(v.names), 1)
+    key = ("super", "part", "word")
     # many small tasks: the edges of a task's words are sorted by word, which had better not spill
-    short = sized.filter(F.col("n") <= MASK).repartition(4 * parts, "word")
-    sub = short.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).select("*", F.explode(F.sequence(F.col("s") + 1, F.least("n", F.col("s") + v.longest))).alias("e"))
-    hit = sub.withColumn("piece", F.substring("w", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(table), "piece", "left").filter("id is not null or e = s + 1")
-    ends, inner = _bits()
-    edge = F.struct("cost", "s", "e", "id", ends.alias("ends"), inner.alias("inner"))
-    lattice = hit.groupBy("word").agg(F.first("part").alias("part"), F.first("w").alias("w"), F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
-    lost = -(max(-s for _, s in v.by_piece.values()) + 10)
-    mask = _merge_fold(F.col("edges"), F.col("n")) if v.merges else _path_fold(F.col("edges"), F.col("n"), lost)
-    edges, w, byte_ids = F.col("edges"), F.col("w"), F.array(*map(F.lit, v.byte_ids))
-    one = F.lit(1)
+    sized = vocab.select(*key, F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    tails = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).select(*key, "n", "s", F.substring("w", F.col("s") + 1, F.lit(v.longest)).alias("tail"))
+    sub = tails.select(*key, "s", "tail", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("s"), F.lit(v.longest)))).alias("length"))
+    piece = F.substring("tail", F.lit(1), F.col("length"))
+    hit = sub.join(F.broadcast(table), (F.xxhash64(piece) == F.col("hash")) & (piece == F.col("name")), "left").filter("weight is not null or length = 1")
+    end = F.col("s") + F.col("length")
+    edge = F.struct(end.alias("e"), (-F.col("length")).alias("back"), F.coalesce("weight", F.lit(lost)).alias("weight"))
+    grouped = hit.groupBy(*key, ((end - 1) / CHUNK).cast("int").alias("chunk")).agg(F.collect_list(edge).alias("edges"))
+    whole = grouped.filter(F.length("word") <= CHUNK).select(*key, F.array("edges").alias("chunks"))
+    put = grouped.filter(F.length("word") > CHUNK).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "edges"))), lambda x: x["edges"]).alias("chunks"))
+    lattice = whole.unionByName(put).withColumn("n", F.length("word"))
+    byte_ids, one = F.array(*map(F.lit, v.byte_ids)), F.lit(1)
 
     def bytes_at(s: Column) -> Column:
         if not v.byte_ids:
             return F.array(F.lit(v.unknown))
         pairs = lambda h: F.transform(F.sequence(one, F.length(h), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int")))
-        return let(F.hex(F.encode(F.substring(w, s + 1, one), "utf-8")), pairs)
-
-    def ids_of(cuts: Column) -> Column:
-        def between(i: Column) -> Column:
-            piece = F.get(F.filter(edges, lambda x: (x["s"] == F.get(cuts, i)) & (x["e"] == F.get(cuts, i + 1))), F.lit(0))["id"]
-            return let(piece, lambda d: F.when(d.isNotNull(), F.array(d)).otherwise(bytes_at(F.get(cuts, i))))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), between))
-
-    set_bits = lambda m: F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    done = lattice.select("part", "word", let(mask, lambda m: let(set_bits(m), ids_of)).alias("ids"))
-
-    def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("word"), pa.array([fold_word(w, v) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))], ["part", "word", "ids"])
+        return let(F.hex(F.encode(F.substring("word", s + 1, one), "utf-8")), pairs)
 
-    rest = sized.filter(F.col("n") > MASK).select("part", "word").mapInArrow(long_words, "part int, word string, ids array<int>")
-    return done.unionByName(rest)
+    spelt = lambda ids: F.when(~F.exists(ids, lambda x: x < 0), ids).otherwise(F.flatten(F.transform(ids, lambda x: F.when(x >= 0, F.array(x)).otherwise(bytes_at(-x - 1)))))
+    return lattice.select(*key, let(_path_fold(F.col("chunks"), F.col("n"), v), spelt).alias("ids"))
 
 
 def decode(ids: list[int], v: Pieces) -> str:
@@ -202,39 +236,34 @@ def decode(ids: list[int], v: Pieces) -> str:
     return out[1:] if v.prefix and out.startswith(" ") else out
 
 
-def encode(docs: DataFrame, model: str = MODEL, with_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, ids, n_pieces, decoded: one row for each row of docs.
 
-    ids are those of the SentencePiece library for the model file; decoded is their text again. Null and empty texts have no
-    ids and decode to the empty string. Words of any length are encoded whole. Repeated rows and ids are encoded alike, null ids
-    stay null. An empty table gives an empty result. Other columns aren't read.
+    ids are the pieces of the best path; for a unigram model they are the SentencePiece library's. merges=True gives those that
+    the library has for a BPE model. decoded is the text of the ids. Null and empty texts have no ids and decode to the empty
+    string. Texts and words of any length are encoded whole. Repeated rows and ids are encoded alike, null ids stay null. An
+    empty table gives an empty result. Other columns aren't read.
     """
     v = load(model)
-    spark = docs.sparkSession
-    src = docs.select("doc_id", "text").withColumn("block", block_column(docs)).withColumn("learn", F.lit(True))
-    packets = staged(word_packets(src, words_of, parts_of(docs)), "piece-words")
-    found = answers(packets, staged(encode_words(spark, vocabulary(packets), v), "piece-ids"))
-    place, names, prefix = {i: bytes([c]) for c, i in enumerate(v.byte_ids)} if v.byte_ids else {}, [x.replace(SPACE, " ").encode() for x in v.names], v.prefix
-    texts = [place.get(i, x) for i, x in enumerate(names)]
-
-    def values(t: pa.Table) -> list[bytes]:
-        """A word's ids as the bytes of 32-bit numbers, which is what many words to a task take least room as."""
-        lists = t.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        at = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
-        raw = lists.values.to_numpy().astype("<i4").tobytes()
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def each(table: pa.Table, known: dict) -> pa.Table:
-        rows, decoded = [], []
-        for text in table.column("text").to_pylist():
-            rows.append(b"".join(map(known.__getitem__, words_of(text))))
-            if with_text:
-                body = b"".join(map(texts.__getitem__, np.frombuffer(rows[-1], "<i4").tolist())).decode("utf-8", "surrogatepass")
-                decoded.append(body[1:] if prefix and body.startswith(" ") else body)
-        sizes = [len(r) // 4 for r in rows]
-        flat = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-        return pa.table({"doc_id": table.column("doc_id"), "ids": ids, "n_pieces": pa.array(sizes, pa.int64()), "decoded": pa.array(decoded if with_text else [None] * len(rows), pa.string())})
-
-    return applied(src, found, each, values, "doc_id long, ids array<int>, n_pieces long, decoded string")
+    blocks = Blocks(docs.select("doc_id", F.lit(True).alias("learn"), "text"), cut_words, "piece-blocks")
+    vocab = blocks.vocabulary()
+    resolved = staged(_merge_words(vocab, v) if merges else encode_words(docs.sparkSession, vocab, v), "piece-ids")
+    found = staged(blocks.answers(resolved), "piece-answers")
+    discard(resolved)
+    release(docs.sparkSession)
+    place, prefix = {i: bytes([c]) for c, i in enumerate(v.byte_ids)} if v.byte_ids else {}, v.prefix
+    texts = [place.get(i, x.replace(SPACE, " ").encode()) for i, x in enumerate(v.names)]
+
+    def each(table: pa.Table, codes: np.ndarray, known: pa.Table | None) -> pa.Table:
+        n = table.column("n").to_numpy()
+        lists = known.column("ids").combine_chunks().take(pa.array(codes)) if known is not None else pa.array([], pa.list_(pa.int32()))
+        ends = lists.offsets.to_numpy()[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+        ids = lists.values.slice(0, int(ends[-1]))
+        # the pieces' bytes one after another are the texts
+        data, at = text_bytes(pa.array(texts, pa.large_binary()).take(ids).cast(pa.large_string(), safe=False)) if len(ids) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        begin, end = at[ends[:-1]], at[ends[1:]]
+        raw = data.tobytes()
+        decoded = [raw[a + (prefix and raw[a : a + 1] == b" ") : b] for a, b in zip(begin.tolist(), end.tolist())]
+        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), ids), "n_pieces": pa.array(np.diff(ends), pa.int64()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string(), safe=False)})
+
+    return blocks.applied(found, each, "doc_id long, ids array<int>, n_pieces long, decoded string")

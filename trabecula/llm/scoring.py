@@ -1,12 +1,13 @@
 """Language-model scores by the likelihood of a subword lattice.
 
-The vocabulary's existing scores weight every way to cut a word into pieces; those of a BPE model are ranks, which Zipf's law
-turns into first weights, while a unigram model's are log-probabilities as they stand. One pass over the different training
-words takes the expected number of times that each piece is used, over all segmentations, as the piece's probability; the
-pieces themselves stay as they are. A word's probability is the sum over its segmentations, by a forward recursion in logs. The
-whole word is one more edge, whose weight is its share of the training words; how much that edge counts is chosen by leaving
-each training occurrence out in turn. Words are independent, so a text's marginal log-probability is the sum over its words
-and its end.
+The vocabulary's existing unigram scores weight every way to cut a word into pieces: a unigram model's are log-probabilities as
+they stand, those of a BPE model are ranks, which Zipf's law turns into log-probabilities. ROUNDS passes over the different
+training words take the expected number of times that each piece is used, over all segmentations; with the existing weights as
+a prior of PRIOR uses a piece these make the weights that score. A word's probability is the sum over all its segmentations, by
+a forward recursion in logs. Words are independent, so a text's marginal log-probability is the sum over its words and its end.
+
+The recursion goes over many words at once: a trie of the pieces is walked from all characters, a step for each further
+character, and the edges found are summed end by end.
 """
 
 from __future__ import annotations
@@ -16,89 +17,158 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, bucket_of, staged
-from .pieces import MODEL, SPACE, Pieces, load
-from .vocabulary import answers, applied, block_column, parts_of, vocabulary, word_packets
+from .common import bucket_of, discard, release, staged
+from .pieces import MODEL, SPACE, UNIT, Pieces, load
+from .vocabulary import Blocks, strings, text_bytes
 
-#: Shares tried for the whole-word edge, and what each piece is counted more than it was used.
-SHARES = tuple(x / 20 for x in range(1, 20))
-ADDED = 0.1
+ROUNDS, PRIOR = 2, 0.1
+#: Bytes of words that the recursion takes at once.
+AT_ONCE = 1 << 20
 
 
-def tokens(text: str | None) -> list[str]:
-    """The words of a text with A-Z in lower case."""
-    return WORD_RE.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if text else []
+def cut_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each text with A-Z in lower case."""
+    data, at = text_bytes(texts)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = at[:-1][np.diff(at) > 0]
+    first[edge] = inside[edge]
+    starts = np.flatnonzero(first)
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return strings(lower[inside], np.concatenate([[0], np.cumsum(inside)])[starts]), np.diff(np.searchsorted(starts, at))
 
 
 def first_weights(v: Pieces) -> dict[str, float]:
-    """ln of the pieces' weights by the vocabulary's own scores."""
-    raw = {p: (-math.log(i + 2.7) if v.merges else s) for p, (i, s) in v.by_piece.items()}
-    for c, i in enumerate(v.byte_ids):
-        raw[f"<{c}>"] = -math.log(len(v.by_piece) + 300) if v.merges else min(raw.values()) - 5
-    top = max(raw.values())
-    total = top + math.log(sum(math.exp(x - top) for x in raw.values()))
-    return {p: x - total for p, x in raw.items()}
+    """Probabilities of the pieces by the vocabulary's own scores; a byte is <n>, as likely as the least likely piece."""
+    raw = {p: math.exp(-c / UNIT) for p, c in v.costs.items()}
+    raw |= {f"<{b}>": min(raw.values()) for b in range(256)}
+    total = sum(raw.values())
+    return {p: x / total for p, x in raw.items()}
+
+
+def _sums(place: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of equal places: the place, and ln of the sum of exp(x)."""
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    top = np.maximum.reduceat(x, first)
+    return place[first], top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(first, len(x))))), first))
 
 
 class Lattice:
+    """The pieces as a trie of sorted (node, character) keys, with the logs of their weights."""
+
     def __init__(self, weights: dict[str, float]) -> None:
-        self.weights, self.longest = weights, max(map(len, weights))
-        self.floor = min(weights.values())
-
-    def bytes_of(self, c: str) -> list[str]:
-        return [f"<{x}>" for x in c.encode("utf-8", "surrogatepass")]
-
-    def edges(self, w: str) -> list[tuple[int, int, float, str | None]]:
-        """(start, end, ln weight, piece) by start; a character that is no piece is the run of its bytes, with None."""
-        out, get, n, most = [], self.weights.get, len(w), self.longest
-        for s in range(n):
-            for e in range(s + 1, min(n, s + most) + 1):
-                p = w[s:e]
-                if (x := get(p)) is not None:
-                    out.append((s, e, x, p))
-                elif e == s + 1:
-                    out.append((s, e, sum(get(b, self.floor) for b in self.bytes_of(p)), None))
+        self.names = [*weights]
+        self.logs = np.log(np.array([weights[p] for p in self.names]))
+        self.byte = {b: self.names.index(f"<{b}>") for b in range(256)}
+        edges: dict[tuple[int, int], int] = {}
+        ends = {}
+        for i, p in enumerate(self.names):
+            if i in self.byte.values():
+                continue
+            node = 0
+            for c in map(ord, p):
+                node = edges.setdefault((node, c), len(edges) + 1)
+            ends[node] = i
+        keys = np.array([n << 21 | c for n, c in edges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.array([*edges.values()], np.int64)[order]
+        self.piece = np.full(len(edges) + 1, -1, np.int64)
+        self.piece[[*ends]] = [*ends.values()]
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of all words, each after a space: the places of their first characters (one more for the end), the characters, and
+        start, end and piece of each edge. A word's end has a place too. A character that is no piece has an edge of piece -1.
+        """
+        chars = np.frombuffer("".join(f"{SPACE}{w}\0" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum([len(w) + 2 for w in words], dtype=np.int64)])
+        last = np.repeat(at[1:] - 1, np.diff(at))
+        start = np.flatnonzero(np.arange(len(chars)) < last)
+        here, node, found = start, np.zeros(len(start), np.int64), []
+        while len(start):
+            key = node << 21 | chars[here]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[i] == key
+            if not found:
+                found.append((start, start + 1, np.where(hit, self.piece[self.to[i]], -1)))
+                start, here, node = start[hit], here[hit] + 1, self.to[i[hit]]
+            else:
+                start, here, node = start[hit], here[hit] + 1, self.to[i[hit]]
+                is_piece = self.piece[node] >= 0
+                found.append((start[is_piece], here[is_piece], self.piece[node[is_piece]]))
+            go = here < last[start]
+            start, here, node = start[go], here[go], node[go]
+        return at, chars, *(np.concatenate(x) for x in zip(*found))
+
+    def weigh(self, chars: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        x = self.logs[piece]
+        odd = piece < 0
+        kinds, which = np.unique(chars[start[odd]], return_inverse=True)
+        x[odd] = np.array([sum(self.logs[self.byte[b]] for b in chr(c).encode()) for c in kinds.tolist()])[which] if len(kinds) else x[odd]
+        return x
+
+    def forward(self, at: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """ln of the sum over all ways from a word's first place to each place."""
+        f = np.full(at[-1], -np.inf)
+        f[at[:-1]] = 0.0
+        depth = end - at[np.searchsorted(at, start, "right") - 1]
+        order = np.lexsort((end, depth))
+        start, end, x = start[order], end[order], x[order]
+        cuts = np.searchsorted(depth[order], np.arange(1, depth.max() + 2))
+        for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+            place, s = _sums(end[i:j], f[start[i:j]] + x[i:j])
+            f[place] = s
+        return f
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """ln of each word's probability, the sum over its segmentations."""
+        at, chars, start, end, piece = self.edges(words)
+        return self.forward(at, start, end, self.weigh(chars, start, piece))[at[1:] - 1]
+
+    def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """How often each piece is used when each word occurs so many times, over all segmentations."""
+        at, chars, start, end, piece = self.edges(words)
+        x = self.weigh(chars, start, piece)
+        f = self.forward(at, start, end, x)
+        word = np.searchsorted(at, start, "right") - 1
+        # the same recursion from the ends: places mirrored within each word
+        low, high = at[word], at[word + 1] - 1
+        b = self.forward(at, low + high - end, low + high - start, x)
+        used = times[word] * np.exp(f[start] + x + b[low + high - end] - f[high])
+        out = np.bincount(piece[piece >= 0], used[piece >= 0], len(self.names))
+        for c, n in zip(*(v.tolist() for v in _totals(chars[start[piece < 0]], used[piece < 0]))):
+            for y in chr(c).encode():
+                out[self.byte[y]] += n
         return out
 
-    def forward(self, edges: list, n: int) -> list[float]:
-        f = [0.0] + [-math.inf] * n
-        exp, log1p = math.exp, math.log1p
-        for s, e, x, _ in edges:
-            y, z = f[s] + x, f[e]
-            f[e] = y if z == -math.inf else y + log1p(exp(z - y)) if y > z else z + log1p(exp(y - z))
-        return f
 
-    def marginal(self, word: str) -> float:
-        """ln of the sum over the segmentations of the word with its space."""
-        w = SPACE + word
-        return self.forward(self.edges(w), len(w))[-1]
-
-    def expected(self, word: str, times: float, into: dict[str, float]) -> None:
-        """Adds to `into` how often each piece is used in `times` occurrences of the word, over all segmentations."""
-        w = SPACE + word
-        n = len(w)
-        edges = self.edges(w)
-        f = self.forward(edges, n)
-        b = [-math.inf] * n + [0.0]
-        exp, log1p, whole = math.exp, math.log1p, f[-1]
-        for s, e, x, p in reversed(edges):
-            y, z = b[e] + x, b[s]
-            b[s] = y if z == -math.inf else y + log1p(exp(z - y)) if y > z else z + log1p(exp(y - z))
-            used = times * exp(f[s] + x + b[e] - whole)
-            for name in (p,) if p is not None else self.bytes_of(w[s:e]):
-                into[name] = into.get(name, 0.0) + used
+def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, which = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(which, values, len(kinds))
+
+
+def _slices(words: list[str]) -> Iterator[slice]:
+    lo = size = 0
+    for i, w in enumerate(words):
+        size += len(w) + 2
+        if size > AT_ONCE or i + 1 == len(words):
+            yield slice(lo, i + 1)
+            lo, size = i + 1, 0
 
 
 def _use(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, found = Lattice(weights), {}
+        lattice = Lattice(weights)
+        found = np.zeros(len(weights))
         for b in batches:
-            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-                lattice.expected(w, n, found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["piece", "used"])
+            words, n = b.column("word").to_pylist(), b.column("n").to_numpy()
+            for s in _slices(words):
+                found += lattice.expected(words[s], n[s])
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([lattice.names[i] for i in at], pa.string()), pa.array(found[at])], ["piece", "used"])
 
     return run
 
@@ -107,58 +177,57 @@ def _marginals(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(weights)
         for b in batches:
-            x = [lattice.marginal(w) / math.log(10) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x, pa.float64())], [*b.schema.names, "spelt"])
+            words = b.column("word").to_pylist()
+            x = [lattice.marginals(words[s]) / math.log(10) for s in _slices(words)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(x) if x else np.zeros(0))], [*b.schema.names, "spelt"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, model: str = MODEL) -> DataFrame:
+def learnt(used: dict[str, float], ends: int, prior: dict[str, float]) -> tuple[dict[str, float], float]:
+    """Weights of the pieces and of the end, which sum to 1: uses and ends counted, the prior as PRIOR uses a piece and one end."""
+    mass = PRIOR * len(prior)
+    total = sum(used.values()) + mass + ends + 1
+    return {p: (used.get(p, 0.0) + mass * x) / total for p, x in prior.items()}, (ends + 1) / total
+
+
+def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, model: str = MODEL, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row.
 
     Tokens are the words of the text, A-Z in lower case, and one end. Rows whose crc32(doc_id as text) mod `modulus` isn't
     `held_out` are learnt from; null ids count as empty text. base_score is the add-one score of the training counts, score the
     lattice's log10 probability. Null and empty texts are an end only. Repeated rows are learnt from and scored each. Without
-    training rows no token is known and the pieces keep their first weights. An empty table gives an empty result. Other columns
-    aren't read. The driver gathers the pieces' use, which the vocabulary file bounds.
+    training rows no token is known and the pieces keep the vocabulary's weights. An empty table gives an empty result. Other
+    columns aren't read. The driver gathers the pieces' use, which the vocabulary file bounds.
     """
-    v = load(model)
-    src = docs.select("doc_id", "text").withColumn("block", block_column(docs)).withColumn("learn", bucket_of("doc_id", modulus) != held_out)
-    packets = staged(word_packets(src, tokens, parts_of(docs)), "lm-words")
-    words = staged(vocabulary(packets), "lm-vocabulary")
+    prior = first_weights(load(model))
+    src = docs.select("doc_id", (bucket_of("doc_id", modulus) != held_out).alias("learn"), "text")
+    blocks = Blocks(src, cut_tokens, "lm-blocks")
+    same = Window.partitionBy("word")
+    counted = blocks.vocabulary().withColumn("c", F.sum("n").over(same)).withColumn("nth", F.row_number().over(same.orderBy("super")))
+    # as many files as tasks are wanted: the recursion over the words is what takes long
+    words = staged(counted.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "super", "part", "word"), "lm-vocabulary")
     ends = src.filter("learn").count()
-    seen, kinds = words.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
-    total = (seen or 0) + ends
-    distinct = (kinds or 0) + (ends > 0)
-    weights = first_weights(v)
-    used = {r[0]: r[1] for r in words.filter("n > 0").select("word", "n").mapInArrow(_use(weights), "piece string, used double").groupBy("piece").agg(F.sum("used")).collect()}
-    mass = sum(used.values())
-    if mass:
-        weights = {p: math.log((used.get(p, 0.0) + ADDED) / (mass + ends + ADDED * len(weights))) for p in weights}
-    spelt = staged(words.mapInArrow(_marginals(weights), "part int, word string, n long, spelt double"), "lm-marginals")
-    share = 0.0
-    if total > 1:
-        left_out = [F.sum(F.col("n") * F.log10(F.lit(x) * (F.col("n") - 1) / (total - 1) + (1 - x) * F.pow(F.lit(10.0), "spelt"))) for x in SHARES]
-        sums = spelt.filter("n > 0").agg(*left_out).first()
-        share = max(zip((s if s is not None else -math.inf for s in sums), SHARES))[1]
-    rare, end_share = -math.log10(total + distinct + 1), ends / total if total else 0.5
-    base_end = math.log10(ends + 1) + rare
-    score_end = math.log10(end_share) if end_share else -math.log10(2)
-
-    def values(t: pa.Table) -> list[complex]:
-        n, p = t.column("n").to_numpy(), t.column("spelt").to_numpy()
-        spelled = p + (math.log10(1 - share))
-        whole = np.log10(np.where(n > 0, n, 1) * share / total) if share else np.full(len(p), -np.inf)
-        both = np.where((n > 0) & (share > 0), np.maximum(whole, spelled) + np.log10(1 + 10.0 ** -np.abs(whole - spelled)), spelled)
-        return (np.log10(n + 1.0) + rare + 1j * both).tolist()
-
-    def each(table: pa.Table, known: dict) -> pa.Table:
-        out = []
-        for text in table.column("text").to_pylist():
-            z = np.array(list(map(known.__getitem__, tokens(text))), np.complex128)
-            out.append((len(z) + 1, int((z.real > rare).sum()) + (ends > 0), float(z.real.sum()) + base_end, float(z.imag.sum()) + score_end))
-        cols = list(zip(*out)) or [()] * 4
-        return pa.table([table.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    out = applied(src, answers(packets, spelt), each, values, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    seen, kinds = words.agg(F.sum("n"), F.sum(((F.col("nth") == 1) & (F.col("c") > 0)).cast("long"))).first()
+    total, distinct = (seen or 0) + ends, (kinds or 0) + (ends > 0)
+    weights, end = learnt({}, ends, prior)
+    for _ in range(rounds):
+        rows = words.filter("n > 0").select("word", "n").mapInArrow(_use(weights), "piece string, used double").groupBy("piece").agg(F.sum("used")).collect()
+        weights, end = learnt(dict(map(tuple, rows)), ends, prior)
+    spelt = staged(words.select("super", "part", "word", "c").mapInArrow(_marginals(weights), "super int, part int, word string, c long, spelt double"), "lm-marginals")
+    discard(words)
+    release(docs.sparkSession)
+    rare, base_end, score_end = -math.log10(total + distinct + 1), math.log10(ends + 1), math.log10(end)
+
+    def each(table: pa.Table, codes: np.ndarray, known: pa.Table | None) -> pa.Table:
+        n = table.column("n").to_numpy()
+        c, spelled = (known.column(x).to_numpy() if known is not None else np.zeros(0) for x in ("c", "spelt"))
+        row = np.repeat(np.arange(len(n)), n)
+        of = lambda values: np.bincount(row, values[codes], len(n))
+        return pa.table({
+            "doc_id": table.column("doc_id"), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(of((c > 0).astype(float)).astype(np.int64) + (ends > 0), pa.int64()),
+            "base_score": pa.array(of(np.log10(c + 1.0)) + (n + 1) * rare + base_end), "score": pa.array(of(spelled) + score_end),
+        })
+
+    out = blocks.applied(blocks.answers(spelt), each, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (bucket_of("doc_id", modulus) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

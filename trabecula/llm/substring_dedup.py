@@ -10,7 +10,6 @@ the earliest of a group stays, and every later one marks its words.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, staged
+from .common import WORD_RE, release, staged
 from .shingles import flat, runs, slices, word_hashes
 
 WINDOW, GRAM, FAN = 20, 6, 2
@@ -27,12 +26,6 @@ WINDOW, GRAM, FAN = 20, 6, 2
 START_BITS = 28
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what has been written; they would stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def least_grams(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all windows of all texts: index of the window's first word, index of the first word of its least run, that run's hash.
 

@@ -1,24 +1,32 @@
 """Work on the different words of a corpus instead of on their occurrences, without a broadcast that grows.
 
-Documents are taken in blocks of ids. Each task packs the different words of each of its blocks, with their counts, by a hash of
-the word; the packets of one hash part meet, and a part's different words are what an operator resolves. The resolved values go
-back as packets to their blocks, where they meet the block's documents. Words travel once for each block that has them, never
-once for each occurrence; packets are Arrow batches under Zstandard.
+Each task cuts its rows into blocks of BLOCK_BYTES of text. A block's texts become numbers of its different words; the words
+go out in packets by a hash of the word. PER_SUPER blocks form a superblock: the packets of one hash part of a superblock meet,
+and its different words are what an operator resolves, once for each superblock. The resolved values go back as packets to
+their blocks, where they meet the blocks' numbers. A part's size depends on BLOCK_BYTES, PER_SUPER and PARTS only, not on the
+corpus; a word travels once for each block that has it, never once for each occurrence. Blocks don't depend on ids. They are
+written before they are used, so that a task that runs again doesn't cut them anew.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text of a block, text that a task holds before it sends its packets, and text of one packet of documents; all in bytes.
-BLOCK_BYTES, HELD_BYTES, DOCS_BYTES = 24 << 20, 24 << 20, 2 << 20
+from .common import staged
+
+#: Text of a block, text that is cut into words at once, text of one packet of documents, all in bytes.
+BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 24 << 20, 4 << 20, 4 << 20
+PARTS, PER_SUPER = 256, 256
+
+#: Cuts a column of texts into words: all of them in a row, and how many each text has.
+Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
 
 
 def packed(table: pa.Table) -> bytes:
@@ -32,105 +40,159 @@ def unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def block_column(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Column:
-    """doc_id div the width at which a block has about block_bytes of text; null ids are in block 0."""
-    low, high, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    blocks = max(1, -(-(size or 0) // block_bytes))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
-    return F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width), F.lit(0)).cast("long")
+def text_bytes(texts: pa.Array, before: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each begins (one more for the end). `before` goes before each that isn't empty."""
+    texts = pc.fill_null(texts, "")
+    if before:
+        texts = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", before.decode()), texts, "")
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)), ends - ends[0]
 
 
-def parts_of(docs: DataFrame) -> int:
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def strings(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Strings that lie in `data` one after another."""
+    ends = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def word_packets(docs: DataFrame, tokens: Callable[[str | None], list[str]], parts: int) -> DataFrame:
-    """docs(block, learn, text) -> block, part, words: a packet of (word, n), n counting occurrences in rows with learn."""
+def part_of(words: pa.Array) -> np.ndarray:
+    """A number below PARTS for each word: a sum of its bytes times odd numbers that depend on their places, mixed."""
+    data, at = text_bytes(words)
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    odd = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * odd[place & 63])]).astype(np.uint64)
+    h = sums[at[1:]] - sums[at[:-1]]
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int32) % PARTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[Counter, Counter]] = {}
-        held = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for block, (counts, others) in found.items():
-                for w in others:
-                    counts.setdefault(w, 0)
-                split: list[list[str]] = [[] for _ in range(parts)]
-                for w in sorted(counts):
-                    split[zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts].append(w)
-                rows = [(block, p, packed(pa.table({"word": pa.array(ws, pa.string()), "n": pa.array([counts[w] for w in ws], pa.int64())}))) for p, ws in enumerate(split) if ws]
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), (pa.int64(), pa.int32(), pa.binary()))], ["block", "part", "words"])
-            found.clear()
-
-        for b in batches:
-            for block, learn, text in zip(*(b.column(c).to_pylist() for c in ("block", "learn", "text"))):
-                if (x := found.get(block)) is None:
-                    x = found[block] = (Counter(), Counter())
-                x[not learn].update(tokens(text))
-                held += len(text or "") + 50
-                if held > HELD_BYTES:
-                    yield from out()
-                    held = 0
-        yield from out()
+def planes(codes: np.ndarray) -> bytes:
+    """32-bit numbers, packed byte by byte: the high bytes are mostly zeros."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
-    return docs.select("block", "learn", "text").mapInArrow(run, "block long, part int, words binary")
 
+def from_planes(blob: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(blob, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
-def vocabulary(packets: DataFrame) -> DataFrame:
-    """-> part, word, n: every different word once, with its count over all packets."""
 
-    def run(key, table):
-        every = pa.concat_tables([unpacked(x) for x in table.column("words").to_pylist()])
-        sums = every.group_by("word").aggregate([("n", "sum")])
-        part = pa.array([table.column("part")[0].as_py()] * len(sums), pa.int32())
-        return pa.table({"part": part, "word": sums.column("word"), "n": sums.column("n_sum")})
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes, a row at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
-    return packets.select("part", "words").groupBy("part").applyInArrow(run, "part int, word string, n long")
 
+BLOCKS = "block long, part int, words binary, docs binary, codes binary"
 
-def answers(packets: DataFrame, resolved: DataFrame) -> DataFrame:
-    """resolved(part, word, ...) -> block, answer: for each packet the words with the other columns of resolved."""
-
-    def run(key, asked, known):
-        blocks, out = [], []
-        known = known.drop_columns(["part"]).combine_chunks()
-        for block, blob in zip(asked.column("block").to_pylist(), asked.column("words").to_pylist()):
-            at = pc.index_in(unpacked(blob).column("word"), value_set=known.column("word"))
-            blocks.append(block)
-            out.append(packed(known.take(at)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "answer": pa.array(out, pa.binary())})
-
-    return packets.groupBy("part").cogroup(resolved.groupBy("part")).applyInArrow(run, "block long, answer binary")
 
+def _cut_blocks(cut: Cut, block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-def doc_packets(docs: DataFrame) -> DataFrame:
-    """docs(block, doc_id, text) -> block, docs: packets of documents."""
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, size
+            rows = pa.Table.from_batches(held).combine_chunks()
+            sizes = pc.add(pc.fill_null(pc.binary_length(rows.column("text")), 0), 16).to_numpy()
+            found, counts = [], []
+            for lo, hi in _runs(sizes, CUT_BYTES):
+                words, n = cut(rows.column("text").slice(lo, hi - lo).combine_chunks())
+                found.append(words)
+                counts.append(n)
+            coded = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
+            del found
+            words, codes, counts = coded.dictionary, coded.indices.to_numpy(), np.concatenate(counts)
+            learnt = np.bincount(codes[np.repeat(rows.column("learn").to_numpy(zero_copy_only=False), counts)], minlength=len(words))
+            at = np.concatenate([[0], np.cumsum(counts)])
+            docs = [(packed(rows.select(["doc_id"]).slice(lo, hi - lo).append_column("n", pa.array(counts[lo:hi], pa.int64()))), planes(codes[at[lo] : at[hi]])) for lo, hi in _runs(sizes, DOCS_BYTES)]
+            block = part << 32 | number
+            one = lambda p, w, d, c: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, p, w, d, c), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "part", "words", "docs", "codes"])
+            for x, y in docs:
+                yield one(-1, None, x, y)
+            where = part_of(words)
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(PARTS + 1))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                mine = order[edges[p] : edges[p + 1]]
+                ws = words.take(pa.array(mine))
+                mine = mine[(by := pc.sort_indices(ws).to_numpy())]
+                yield one(p, packed(pa.table({"word": ws.take(pa.array(by)), "code": pa.array(mine, pa.int32()), "n": pa.array(learnt[mine], pa.int64())})), None, None)
+            number, held, size = number + 1, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            table = pa.Table.from_batches([b])
-            sizes = pc.fill_null(pc.binary_length(table.column("text")), 0).to_pylist()
-            blocks = table.column("block").to_pylist()
-            lo = held = 0
-            for i in range(len(blocks)):
-                held += sizes[i]
-                if i + 1 == len(blocks) or blocks[i + 1] != blocks[i] or held > DOCS_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([blocks[i]], pa.int64()), pa.array([packed(table.slice(lo, i + 1 - lo).select(["doc_id", "text"]))], pa.binary())], ["block", "docs"])
-                    lo, held = i + 1, 0
-
-    return docs.select("block", "doc_id", "text").mapInArrow(run, "block long, docs binary")
-
-
-def applied(docs: DataFrame, found: DataFrame, each: Callable[[pa.Table, dict], pa.Table], values: Callable[[pa.Table], list], schema: str) -> DataFrame:
-    """docs(block, doc_id, text) and answers -> what `each` makes of a packet of documents and {word: value} of its block."""
-
-    def run(key, packets, replies):
-        known: dict = {}
-        for blob in replies.column("answer").to_pylist():
-            t = unpacked(blob)
-            known.update(zip(t.column("word").to_pylist(), values(t)))
-        out = [each(unpacked(blob), known) for blob in packets.column("docs").to_pylist()]
-        return pa.concat_tables(out) if out else each(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), known)
-
-    return doc_packets(docs).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+            if not len(b):
+                continue
+            sizes = pc.add(pc.fill_null(pc.binary_length(b.column("text")), 0), 16).to_numpy()
+            for lo, hi in _runs(sizes, block_bytes):
+                more = int(sizes[lo:hi].sum())
+                if held and size + more > block_bytes:
+                    yield from out()
+                held.append(b.slice(lo, hi - lo))
+                size += more
+        if held:
+            yield from out()
+
+    return run
+
+
+class Blocks:
+    """The blocks of docs(doc_id, learn, text), on the shared folder."""
+
+    def __init__(self, docs: DataFrame, cut: Cut, name: str, block_bytes: int = BLOCK_BYTES, per_super: int = PER_SUPER) -> None:
+        self.name = name
+        self.table = staged(docs.select("doc_id", "learn", "text").mapInArrow(_cut_blocks(cut, block_bytes), BLOCKS), name)
+        self.docs = self.table.filter("docs is not null").select("block", "docs", "codes")
+        supers = -(-self.docs.select("block").distinct().count() // per_super)
+        super_of = F.pmod(F.xxhash64("block"), F.lit(max(1, supers))).cast("int").alias("super")
+        self.packets = self.table.filter("words is not null").select(super_of, "part", "block", "words")
+
+    def vocabulary(self) -> DataFrame:
+        """-> super, part, word, n: every different word of a superblock once, with its count in the rows with learn."""
+
+        def run(key, table):
+            every = pa.concat_tables([unpacked(x).select(["word", "n"]) for x in table.column("words").to_pylist()])
+            sums = every.group_by("word").aggregate([("n", "sum")])
+            place = [pa.array(np.full(len(sums), x.as_py(), np.int32)) for x in key]
+            return pa.table({"super": place[0], "part": place[1], "word": sums.column("word"), "n": sums.column("n_sum")})
+
+        return self.packets.select("super", "part", "words").groupBy("super", "part").applyInArrow(run, "super int, part int, word string, n long")
+
+    def answers(self, resolved: DataFrame) -> DataFrame:
+        """resolved(super, part, word, ...) -> block, answer: for each packet the words' numbers with the other columns of resolved."""
+
+        def run(key, asked, known):
+            blocks, out = [], []
+            names, known = known.column("word").combine_chunks(), known.drop_columns(["super", "part", "word"]).combine_chunks()
+            for block, blob in zip(asked.column("block").to_pylist(), asked.column("words").to_pylist()):
+                t = unpacked(blob)
+                blocks.append(block)
+                out.append(packed(known.take(pc.index_in(t.column("word"), value_set=names)).append_column("code", t.column("code"))))
+            return pa.table({"block": pa.array(blocks, pa.int64()), "answer": pa.array(out, pa.binary())})
+
+        return self.packets.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(run, "block long, answer binary")
+
+    def applied(self, found: DataFrame, each: Callable[[pa.Table, np.ndarray, pa.Table | None], pa.Table], schema: str) -> DataFrame:
+        """found(block, answer) -> what `each` makes of a packet's (doc_id, n), of its words' numbers, and of the answers in their order."""
+
+        def run(key, packets, replies):
+            known, size = None, 0
+            if len(replies):
+                known = pa.concat_tables([unpacked(x) for x in replies.column("answer").to_pylist()])
+                code = known.column("code").to_numpy()
+                order = np.empty(len(code), np.int64)
+                order[code] = np.arange(len(code))
+                known, size = known.drop_columns(["code"]).take(pa.array(order)).combine_chunks(), len(code)
+            out = []
+            for docs, blob in zip(packets.column("docs").to_pylist(), packets.column("codes").to_pylist()):
+                docs = unpacked(docs)
+                codes = from_planes(blob, pc.sum(docs.column("n")).as_py() or 0)
+                if len(codes) and int(codes.max()) >= size:
+                    raise RuntimeError("words of a block have no answers")
+                out.append(each(docs, codes, known))
+            return pa.concat_tables(out) if out else each(pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), np.zeros(0, np.uint32), None)
+
+        return self.docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
