@@ -36,14 +36,15 @@ def _place(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: the plan is cut there and a lost executor costs no recomputation.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder, in a folder for each value of `by`, and read again: the plan is cut there and a lost
+    executor costs no recomputation.
 
     The table goes when the session's JVM ends, or with discard() as soon as nothing reads it any more.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     store, at = _place(spark, path)
     store.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -51,11 +52,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables; others are left alone."""
+def discard(*tables: DataFrame, only: str = "") -> None:
+    """Deletes staged tables, or the one folder `only` of them; others are left alone."""
     for t in tables:
         if path := getattr(t, "staged_at", None):
-            store, at = _place(t.sparkSession, path)
+            store, at = _place(t.sparkSession, f"{path}/{only}" if only else path)
             store.delete(at, True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,11 +27,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = staged(large, "edges")
+        large, old = staged(large, "edges"), now
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(low, "a")
         small = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        discard(large, old)
         before, state = state, _state(now)
         if state == before:
             break

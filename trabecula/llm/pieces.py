@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, staged
-from .vocabulary import Blocks, strings, text_bytes
+from .common import discard, staged
+from .vocabulary import Blocks, Cut, strings, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -54,7 +54,7 @@ class Pieces:
 
 
 def load(path: str = MODEL) -> Pieces:
-    """Reads a model file on the driver. Only models that keep texts as they are and whose pieces don't cross words are taken."""
+    """Reads a model file on the driver. Only models that keep texts as they are and whose pieces have spaces at their start only are taken."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -73,15 +73,24 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(by_piece, byte_ids if any(byte_ids) else [], sp.unk_id(), [p.piece for p in m.pieces], m.trainer_spec.model_type == m.trainer_spec.BPE, m.normalizer_spec.add_dummy_prefix)
 
 
-def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of each text with the space that is put before it, together that text: line breaks, and words with the spaces before them."""
-    data, at = text_bytes(texts, b" ")
-    space, line = data == 32, data == 10
-    first = np.zeros(len(data), bool)
-    first[1:] = (line[1:] & ~line[:-1]) | (space[1:] & ~space[:-1]) | (~space[1:] & ~line[1:] & line[:-1])
-    first[at[:-1][np.diff(at) > 0]] = True
-    starts = np.flatnonzero(first)
-    return strings(data, starts), np.diff(np.searchsorted(starts, at))
+def cutter(v: Pieces) -> Cut:
+    """Cuts texts, each with a space before it, where two bytes meet that meet in no piece: no path and no merge crosses such a place."""
+    met = np.zeros((256, 256), bool)
+    met[:, 0x80:0xC0] = True  # not within a character
+    for p in v.by_piece:
+        data = np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)
+        met[data[:-1], data[1:]] = True
+
+    def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        data, at = text_bytes(texts, b" ")
+        first = np.zeros(len(data), bool)
+        first[1:] = ~met[data[:-1], data[1:]]
+        first[1:] |= (data[1:] == 32) & (data[:-1] != 32)
+        first[at[:-1][np.diff(at) > 0]] = True
+        starts = np.flatnonzero(first)
+        return strings(data, starts), np.diff(np.searchsorted(starts, at))
+
+    return cut
 
 
 def best_path(word: str, v: Pieces) -> list[int]:
@@ -167,27 +176,32 @@ def _path_fold(chunks: Column, n: Column, v: Pieces) -> Column:
 
         def step(now: Column, e: Column) -> Column:
             into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.element_at(now, x["back"]).bitwiseAND(-1 << low) + x["weight"])
-            return F.concat(now, F.array(F.array_min(into)))
+            return F.array_append(now, F.array_min(into))
 
-        return F.concat(done, F.array(F.aggregate(F.sequence(k * CHUNK + 1, F.least(n, k * CHUNK + CHUNK)), before, step)))
+        return F.array_append(done, F.aggregate(F.sequence(k * CHUNK + 1, F.least(n, k * CHUNK + CHUNK)), before, step))
 
     states = F.aggregate(chunks, F.array().cast("array<array<bigint>>"), steps)
 
     def walk(states: Column) -> Column:
-        def take(a: Column, x: Column) -> Column:
-            number = x.bitwiseAND(ids).cast("int")
-            return F.when(a["e"] > a["cut"], F.struct((a["e"] - 1).alias("e"), a["cut"].alias("cut"), a["found"].alias("found"))).otherwise(
-                F.struct((a["e"] - 1).alias("e"), (a["e"] - v.longest + F.shiftright(x, id_bits).bitwiseAND(lengths).cast("int")).alias("cut"), F.concat(a["found"], F.array(F.when(number == len(v.names), -a["e"]).otherwise(number))).alias("found"))
-            )
+        def of(e: Column) -> Column:
+            """The state of an end: a chunk that isn't the first begins with states of the one before it."""
+            k = ((e - 1) / CHUNK).cast("int")
+            return F.get(F.get(states, k), (e - 1) % CHUNK + F.when(k == 0, 1).otherwise(v.longest))
+
+        def cut(cuts: Column, e: Column) -> Column:
+            return F.when(F.element_at(cuts, -1) != e, cuts).otherwise(F.array_append(cuts, e - v.longest + F.shiftright(of(e), id_bits).bitwiseAND(lengths).cast("int")))
+
+        def cuts_of(done: Column, k: Column) -> Column:
+            # the cuts of a chunk, from the one that the chunk behind it has found
+            behind = F.array(F.when(F.size(done) == 0, n).otherwise(F.element_at(F.element_at(done, -1), -1)))
+            return F.array_append(done, F.aggregate(F.sequence(F.least(n, k * CHUNK + CHUNK), k * CHUNK + 1, F.lit(-1)), behind, cut))
 
-        def takes(a: Column, k: Column) -> Column:
-            chunk = F.get(states, k)
-            own = F.reverse(F.slice(chunk, F.when(k == 0, 2).otherwise(v.longest + 1), F.lit(CHUNK)))
-            first = F.struct(a["e"].alias("e"), a["cut"].alias("cut"), F.array().cast("array<int>").alias("found"))
-            return let(F.aggregate(own, first, take), lambda x: F.struct(x["e"].alias("e"), x["cut"].alias("cut"), F.concat(a["found"], F.array(x["found"])).alias("found")))
+        def named(e: Column) -> Column:
+            return let(of(e).bitwiseAND(ids).cast("int"), lambda i: F.when(i == len(v.names), -e).otherwise(i))
 
-        start = F.struct(n.alias("e"), n.alias("cut"), F.array().cast("array<array<int>>").alias("found"))
-        return F.aggregate(F.sequence(F.size(states) - 1, F.lit(0), F.lit(-1)), start, takes, lambda a: F.reverse(F.flatten(a["found"])))
+        found = F.aggregate(F.sequence(F.size(states) - 1, F.lit(0), F.lit(-1)), F.array().cast("array<array<int>>"), cuts_of)
+        # each chunk's last cut is the next one's first
+        return F.reverse(F.transform(F.flatten(F.transform(found, lambda x: F.slice(x, 1, F.size(x) - 1))), named))
 
     return let(states, walk)
 
@@ -206,7 +220,8 @@ def encode_words(spark: SparkSession, vocab: DataFrame, v: Pieces) -> DataFrame:
     lost = weight(max(costs.values()) + LOST * UNIT, len(v.names), 1)
     key = ("super", "part", "word")
     # many small tasks: the edges of a task's words are sorted by word, which had better not spill
-    sized = vocab.select(*key, F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    dealt = vocab.select(*key).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    sized = dealt.select(*key, F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
     tails = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).select(*key, "n", "s", F.substring("w", F.col("s") + 1, F.lit(v.longest)).alias("tail"))
     sub = tails.select(*key, "s", "tail", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("s"), F.lit(v.longest)))).alias("length"))
     piece = F.substring("tail", F.lit(1), F.col("length"))
@@ -245,12 +260,11 @@ def encode(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFra
     empty table gives an empty result. Other columns aren't read.
     """
     v = load(model)
-    blocks = Blocks(docs.select("doc_id", F.lit(True).alias("learn"), "text"), cut_words, "piece-blocks")
-    vocab = blocks.vocabulary()
+    blocks = Blocks(docs.select("doc_id", F.lit(True).alias("learn"), "text"), cutter(v), "piece-blocks")
+    vocab = staged(blocks.vocabulary(), "piece-words")
     resolved = staged(_merge_words(vocab, v) if merges else encode_words(docs.sparkSession, vocab, v), "piece-ids")
-    found = staged(blocks.answers(resolved), "piece-answers")
-    discard(resolved)
-    release(docs.sparkSession)
+    discard(vocab)
+    found = blocks.answers(resolved)
     place, prefix = {i: bytes([c]) for c, i in enumerate(v.byte_ids)} if v.byte_ids else {}, v.prefix
     texts = [place.get(i, x.replace(SPACE, " ").encode()) for i, x in enumerate(v.names)]
 

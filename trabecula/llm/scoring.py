@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, discard, release, staged
+from .common import bucket_of, discard, staged
 from .pieces import MODEL, SPACE, UNIT, Pieces, load
 from .vocabulary import Blocks, strings, text_bytes
 
@@ -216,7 +216,6 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, model: str =
         weights, end = learnt(dict(map(tuple, rows)), ends, prior)
     spelt = staged(words.select("super", "part", "word", "c").mapInArrow(_marginals(weights), "super int, part int, word string, c long, spelt double"), "lm-marginals")
     discard(words)
-    release(docs.sparkSession)
     rare, base_end, score_end = -math.log10(total + distinct + 1), math.log10(ends + 1), math.log10(end)
 
     def each(table: pa.Table, codes: np.ndarray, known: pa.Table | None) -> pa.Table:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, release, staged
 
 #: Text of a block, text that is cut into words at once, text of one packet of documents, all in bytes.
 BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 24 << 20, 4 << 20, 4 << 20
@@ -144,11 +144,12 @@ class Blocks:
 
     def __init__(self, docs: DataFrame, cut: Cut, name: str, block_bytes: int = BLOCK_BYTES, per_super: int = PER_SUPER) -> None:
         self.name = name
-        self.table = staged(docs.select("doc_id", "learn", "text").mapInArrow(_cut_blocks(cut, block_bytes), BLOCKS), name)
-        self.docs = self.table.filter("docs is not null").select("block", "docs", "codes")
+        rows = docs.select("doc_id", "learn", "text").mapInArrow(_cut_blocks(cut, block_bytes), BLOCKS)
+        self.table = staged(rows.withColumn("kind", F.when(F.col("part") < 0, "docs").otherwise("words")), name, "kind")
+        self.docs = self.table.filter("kind = 'docs'").select("block", "docs", "codes")
         supers = -(-self.docs.select("block").distinct().count() // per_super)
         super_of = F.pmod(F.xxhash64("block"), F.lit(max(1, supers))).cast("int").alias("super")
-        self.packets = self.table.filter("words is not null").select(super_of, "part", "block", "words")
+        self.packets = self.table.filter("kind = 'words'").select(super_of, "part", "block", "words")
 
     def vocabulary(self) -> DataFrame:
         """-> super, part, word, n: every different word of a superblock once, with its count in the rows with learn."""
@@ -162,7 +163,9 @@ class Blocks:
         return self.packets.select("super", "part", "words").groupBy("super", "part").applyInArrow(run, "super int, part int, word string, n long")
 
     def answers(self, resolved: DataFrame) -> DataFrame:
-        """resolved(super, part, word, ...) -> block, answer: for each packet the words' numbers with the other columns of resolved."""
+        """resolved(super, part, word, ...), a staged table -> block, answer: for each packet the words' numbers with the other
+        columns of resolved. The words and resolved are deleted, so this is asked once.
+        """
 
         def run(key, asked, known):
             blocks, out = [], []
@@ -173,7 +176,12 @@ class Blocks:
                 out.append(packed(known.take(pc.index_in(t.column("word"), value_set=names)).append_column("code", t.column("code"))))
             return pa.table({"block": pa.array(blocks, pa.int64()), "answer": pa.array(out, pa.binary())})
 
-        return self.packets.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(run, "block long, answer binary")
+        release(self.table.sparkSession)
+        found = staged(self.packets.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(run, "block long, answer binary"), f"{self.name}-answers")
+        discard(resolved)
+        discard(self.table, only="kind=words")
+        release(self.table.sparkSession)
+        return found
 
     def applied(self, found: DataFrame, each: Callable[[pa.Table, np.ndarray, pa.Table | None], pa.Table], schema: str) -> DataFrame:
         """found(block, answer) -> what `each` makes of a packet's (doc_id, n), of its words' numbers, and of the answers in their order."""
