@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import staged
 from .vocabulary import Blocks, Cut, strings, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -150,9 +150,9 @@ def _merge_words(vocab: DataFrame, v: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pa.array([merged(w, v) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("super", "part", "word")), ids], ["super", "part", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("super", "part", "rank")), ids], ["super", "part", "rank", "ids"])
 
-    return vocab.select("super", "part", "word").mapInArrow(run, "super int, part int, word string, ids array<int>")
+    return vocab.select("super", "part", "rank", "word").mapInArrow(run, "super int, part int, rank int, ids array<int>")
 
 
 def let(value: Column, body) -> Column:
@@ -212,25 +212,25 @@ def _bits(v: Pieces) -> tuple[int, int]:
 
 
 def encode_words(spark: SparkSession, vocab: DataFrame, v: Pieces) -> DataFrame:
-    """vocab(super, part, word) of words that aren't empty -> super, part, word, ids."""
+    """vocab(super, part, rank, word) of words that aren't empty -> super, part, rank, ids."""
     costs, (id_bits, length_bits) = v.costs, _bits(v)
     weight = lambda cost, id, length: (cost << length_bits | v.longest - length) << id_bits | id
     # rows of the vocabulary file; a join on numbers is faster than one on strings, which are compared where the numbers agree
     table = spark.createDataFrame([(p, weight(costs[p], i, len(p))) for p, (i, _) in v.by_piece.items()], "name string, weight long").withColumn("hash", F.xxhash64("name"))
     lost = weight(max(costs.values()) + LOST * UNIT, len(v.names), 1)
-    key = ("super", "part", "word")
+    key = ("super", "part", "rank")
     # many small tasks: the edges of a task's words are sorted by word, which had better not spill
-    dealt = vocab.select(*key).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
-    sized = dealt.select(*key, F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
-    tails = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).select(*key, "n", "s", F.substring("w", F.col("s") + 1, F.lit(v.longest)).alias("tail"))
-    sub = tails.select(*key, "s", "tail", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("s"), F.lit(v.longest)))).alias("length"))
+    dealt = vocab.select(*key, "word").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    sized = dealt.select(*key, "word", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("n"))
+    tails = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).select(*key, "word", "n", "s", F.substring("w", F.col("s") + 1, F.lit(v.longest)).alias("tail"))
+    sub = tails.select(*key, "word", "s", "tail", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("s"), F.lit(v.longest)))).alias("length"))
     piece = F.substring("tail", F.lit(1), F.col("length"))
     hit = sub.join(F.broadcast(table), (F.xxhash64(piece) == F.col("hash")) & (piece == F.col("name")), "left").filter("weight is not null or length = 1")
     end = F.col("s") + F.col("length")
     edge = F.struct(end.alias("e"), (-F.col("length")).alias("back"), F.coalesce("weight", F.lit(lost)).alias("weight"))
-    grouped = hit.groupBy(*key, ((end - 1) / CHUNK).cast("int").alias("chunk")).agg(F.collect_list(edge).alias("edges"))
-    whole = grouped.filter(F.length("word") <= CHUNK).select(*key, F.array("edges").alias("chunks"))
-    put = grouped.filter(F.length("word") > CHUNK).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "edges"))), lambda x: x["edges"]).alias("chunks"))
+    grouped = hit.groupBy(*key, "word", ((end - 1) / CHUNK).cast("int").alias("chunk")).agg(F.collect_list(edge).alias("edges"))
+    whole = grouped.filter(F.length("word") <= CHUNK).select(*key, "word", F.array("edges").alias("chunks"))
+    put = grouped.filter(F.length("word") > CHUNK).groupBy(*key, "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "edges"))), lambda x: x["edges"]).alias("chunks"))
     lattice = whole.unionByName(put).withColumn("n", F.length("word"))
     byte_ids, one = F.array(*map(F.lit, v.byte_ids)), F.lit(1)
 
@@ -261,10 +261,7 @@ def encode(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFra
     """
     v = load(model)
     blocks = Blocks(docs.select("doc_id", F.lit(True).alias("learn"), "text"), cutter(v), "piece-blocks")
-    vocab = staged(blocks.vocabulary(), "piece-words")
-    resolved = staged(_merge_words(vocab, v) if merges else encode_words(docs.sparkSession, vocab, v), "piece-ids")
-    discard(vocab)
-    found = blocks.answers(resolved)
+    resolved = staged(_merge_words(blocks.words, v) if merges else encode_words(docs.sparkSession, blocks.words, v), "piece-ids")
     place, prefix = {i: bytes([c]) for c, i in enumerate(v.byte_ids)} if v.byte_ids else {}, v.prefix
     texts = [place.get(i, x.replace(SPACE, " ").encode()) for i, x in enumerate(v.names)]
 
@@ -280,4 +277,4 @@ def encode(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFra
         decoded = [raw[a + (prefix and raw[a : a + 1] == b" ") : b] for a, b in zip(begin.tolist(), end.tolist())]
         return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), ids), "n_pieces": pa.array(np.diff(ends), pa.int64()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string(), safe=False)})
 
-    return blocks.applied(found, each, "doc_id long, ids array<int>, n_pieces long, decoded string")
+    return blocks.applied(resolved, each, "doc_id long, ids array<int>, n_pieces long, decoded string")

@@ -202,11 +202,11 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, model: str =
     """
     prior = first_weights(load(model))
     src = docs.select("doc_id", (bucket_of("doc_id", modulus) != held_out).alias("learn"), "text")
-    blocks = Blocks(src, cut_tokens, "lm-blocks")
+    blocks = Blocks(src, cut_tokens, "lm-blocks", counted=True)
     same = Window.partitionBy("word")
-    counted = blocks.vocabulary().withColumn("c", F.sum("n").over(same)).withColumn("nth", F.row_number().over(same.orderBy("super")))
+    counted = blocks.words.withColumn("c", F.sum("n").over(same)).withColumn("nth", F.row_number().over(same.orderBy("super")))
     # as many files as tasks are wanted: the recursion over the words is what takes long
-    words = staged(counted.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "super", "part", "word"), "lm-vocabulary")
+    words = staged(counted.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "super", "part", "rank"), "lm-words")
     ends = src.filter("learn").count()
     seen, kinds = words.agg(F.sum("n"), F.sum(((F.col("nth") == 1) & (F.col("c") > 0)).cast("long"))).first()
     total, distinct = (seen or 0) + ends, (kinds or 0) + (ends > 0)
@@ -214,7 +214,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, model: str =
     for _ in range(rounds):
         rows = words.filter("n > 0").select("word", "n").mapInArrow(_use(weights), "piece string, used double").groupBy("piece").agg(F.sum("used")).collect()
         weights, end = learnt(dict(map(tuple, rows)), ends, prior)
-    spelt = staged(words.select("super", "part", "word", "c").mapInArrow(_marginals(weights), "super int, part int, word string, c long, spelt double"), "lm-marginals")
+    spelt = staged(words.select("super", "part", "rank", "word", "c").mapInArrow(_marginals(weights), "super int, part int, rank int, word string, c long, spelt double").drop("word"), "lm-marginals")
     discard(words)
     rare, base_end, score_end = -math.log10(total + distinct + 1), math.log10(ends + 1), math.log10(end)
 
@@ -228,5 +228,5 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, model: str =
             "base_score": pa.array(of(np.log10(c + 1.0)) + (n + 1) * rare + base_end), "score": pa.array(of(spelled) + score_end),
         })
 
-    out = blocks.applied(blocks.answers(spelt), each, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.applied(spelt, each, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (bucket_of("doc_id", modulus) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,11 +1,11 @@
 """Work on the different words of a corpus instead of on their occurrences, without a broadcast that grows.
 
 Each task cuts its rows into blocks of BLOCK_BYTES of text. A block's texts become numbers of its different words; the words
-go out in packets by a hash of the word. PER_SUPER blocks form a superblock: the packets of one hash part of a superblock meet,
-and its different words are what an operator resolves, once for each superblock. The resolved values go back as packets to
-their blocks, where they meet the blocks' numbers. A part's size depends on BLOCK_BYTES, PER_SUPER and PARTS only, not on the
-corpus; a word travels once for each block that has it, never once for each occurrence. Blocks don't depend on ids. They are
-written before they are used, so that a task that runs again doesn't cut them anew.
+go out in packets by a hash of the word. PER_SUPER blocks form a superblock: the packets of one hash part of a superblock meet
+and get ranks among its different words, which an operator resolves once for each superblock. The resolved values go back as
+packets to their blocks, where they meet the blocks' numbers. A part's size depends on BLOCK_BYTES, PER_SUPER and PARTS only,
+not on the corpus; a word travels once for each block that has it, never once for each occurrence. Blocks don't depend on ids.
+They are written before they are used, so that a task that runs again doesn't cut them anew.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .common import discard, release, staged
 
 #: Text of a block, text that is cut into words at once, text of one packet of documents, all in bytes.
 BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 24 << 20, 4 << 20, 4 << 20
-PARTS, PER_SUPER = 256, 256
+PARTS, PER_SUPER = 64, 256
 
 #: Cuts a column of texts into words: all of them in a row, and how many each text has.
 Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
@@ -65,7 +65,7 @@ def part_of(words: pa.Array) -> np.ndarray:
     odd = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     sums = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * odd[place & 63])]).astype(np.uint64)
     h = sums[at[1:]] - sums[at[:-1]]
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int32) % PARTS
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int32) % PARTS
 
 
 def planes(codes: np.ndarray) -> bytes:
@@ -87,10 +87,13 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-BLOCKS = "block long, part int, words binary, docs binary, codes binary"
+BLOCKS = "block long, part int, words binary, docs binary, codes binary, parts binary"
 
 
-def _cut_blocks(cut: Cut, block_bytes: int):
+_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("codes", pa.binary()), ("parts", pa.binary())])
+
+
+def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -105,22 +108,30 @@ def _cut_blocks(cut: Cut, block_bytes: int):
                 counts.append(n)
             coded = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
             del found
-            words, codes, counts = coded.dictionary, coded.indices.to_numpy(), np.concatenate(counts)
+            counts = np.concatenate(counts)
+            # frequent words get small numbers
+            times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            order = np.argsort(-times, kind="stable")
+            number_of = np.empty(len(order), np.uint32)
+            number_of[order] = np.arange(len(order))
+            words, codes = coded.dictionary.take(pa.array(order)), number_of[coded.indices.to_numpy()]
             learnt = np.bincount(codes[np.repeat(rows.column("learn").to_numpy(zero_copy_only=False), counts)], minlength=len(words))
+            del coded
             at = np.concatenate([[0], np.cumsum(counts)])
-            docs = [(packed(rows.select(["doc_id"]).slice(lo, hi - lo).append_column("n", pa.array(counts[lo:hi], pa.int64()))), planes(codes[at[lo] : at[hi]])) for lo, hi in _runs(sizes, DOCS_BYTES)]
-            block = part << 32 | number
-            one = lambda p, w, d, c: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, p, w, d, c), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "part", "words", "docs", "codes"])
-            for x, y in docs:
-                yield one(-1, None, x, y)
-            where = part_of(words)
+            block, where = part << 32 | number, part_of(words)
+            one = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, *row), _SCHEMA)], schema=_SCHEMA)
+            parts = where.astype(np.uint8).tobytes()
+            for lo, hi in _runs(sizes, DOCS_BYTES):
+                docs = packed(rows.select(["doc_id"]).slice(lo, hi - lo).append_column("n", pa.array(counts[lo:hi], pa.int64())))
+                yield one(-1, None, docs, planes(codes[at[lo] : at[hi]]), parts)
+                parts = None
+            # a part's words are in the order of their numbers, so that the numbers needn't travel
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(PARTS + 1))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 mine = order[edges[p] : edges[p + 1]]
-                ws = words.take(pa.array(mine))
-                mine = mine[(by := pc.sort_indices(ws).to_numpy())]
-                yield one(p, packed(pa.table({"word": ws.take(pa.array(by)), "code": pa.array(mine, pa.int32()), "n": pa.array(learnt[mine], pa.int64())})), None, None)
+                table = {"word": words.take(pa.array(mine))} | ({"n": pa.array(learnt[mine], pa.int64())} if counted else {})
+                yield one(p, packed(pa.table(table)), None, None, None)
             number, held, size = number + 1, [], 0
 
         for b in batches:
@@ -140,60 +151,66 @@ def _cut_blocks(cut: Cut, block_bytes: int):
 
 
 class Blocks:
-    """The blocks of docs(doc_id, learn, text), on the shared folder."""
+    """The blocks of docs(doc_id, learn, text), on the shared folder; `counted` if words are to be counted in the rows with learn."""
 
-    def __init__(self, docs: DataFrame, cut: Cut, name: str, block_bytes: int = BLOCK_BYTES, per_super: int = PER_SUPER) -> None:
-        self.name = name
-        rows = docs.select("doc_id", "learn", "text").mapInArrow(_cut_blocks(cut, block_bytes), BLOCKS)
-        self.table = staged(rows.withColumn("kind", F.when(F.col("part") < 0, "docs").otherwise("words")), name, "kind")
-        self.docs = self.table.filter("kind = 'docs'").select("block", "docs", "codes")
+    def __init__(self, docs: DataFrame, cut: Cut, name: str, counted: bool = False, block_bytes: int = BLOCK_BYTES, per_super: int = PER_SUPER) -> None:
+        self.name, self.spark = name, docs.sparkSession
+        rows = docs.select("doc_id", "learn", "text").mapInArrow(_cut_blocks(cut, block_bytes, counted), BLOCKS)
+        table = staged(rows.withColumn("kind", F.when(F.col("part") < 0, "docs").otherwise("words")), name, "kind")
+        self.docs = table.filter("kind = 'docs'").select("block", "docs", "codes", "parts")
         supers = -(-self.docs.select("block").distinct().count() // per_super)
         super_of = F.pmod(F.xxhash64("block"), F.lit(max(1, supers))).cast("int").alias("super")
-        self.packets = self.table.filter("kind = 'words'").select(super_of, "part", "block", "words")
-
-    def vocabulary(self) -> DataFrame:
-        """-> super, part, word, n: every different word of a superblock once, with its count in the rows with learn."""
-
-        def run(key, table):
-            every = pa.concat_tables([unpacked(x).select(["word", "n"]) for x in table.column("words").to_pylist()])
-            sums = every.group_by("word").aggregate([("n", "sum")])
-            place = [pa.array(np.full(len(sums), x.as_py(), np.int32)) for x in key]
-            return pa.table({"super": place[0], "part": place[1], "word": sums.column("word"), "n": sums.column("n_sum")})
-
-        return self.packets.select("super", "part", "words").groupBy("super", "part").applyInArrow(run, "super int, part int, word string, n long")
-
-    def answers(self, resolved: DataFrame) -> DataFrame:
-        """resolved(super, part, word, ...), a staged table -> block, answer: for each packet the words' numbers with the other
-        columns of resolved. The words and resolved are deleted, so this is asked once.
+        packets = table.filter("kind = 'words'").select(super_of, "part", "block", "words")
+
+        def run(key, packets):
+            tables = [unpacked(x) for x in packets.column("words").to_pylist()]
+            every = pa.concat_tables(tables).combine_chunks()
+            coded = every.column("word").combine_chunks().dictionary_encode()
+            ranks, size = coded.indices.to_numpy(), len(coded.dictionary)
+            n = np.bincount(ranks, every.column("n").to_numpy(), size).astype(np.int64) if counted else np.zeros(size, np.int64)
+            ends = np.cumsum([len(t) for t in tables])
+            links = [planes(ranks[a:b].astype(np.uint32)) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            super, part = (x.as_py() for x in key)
+            both = size + len(links)
+            blank = lambda k, t: pa.nulls(k, t)
+            return pa.table({
+                "super": pa.array(np.full(both, super, np.int32)), "part": pa.array(np.full(both, part, np.int32)),
+                "rank": pa.concat_arrays([pa.array(np.arange(size, dtype=np.int32)), blank(len(links), pa.int32())]),
+                "word": pa.concat_arrays([coded.dictionary, blank(len(links), pa.string())]), "n": pa.concat_arrays([pa.array(n), blank(len(links), pa.int64())]),
+                "block": pa.concat_arrays([blank(size, pa.int64()), packets.column("block").combine_chunks()]),
+                "size": pa.concat_arrays([blank(size, pa.int64()), pa.array([len(t) for t in tables], pa.int64())]),
+                "ranks": pa.concat_arrays([blank(size, pa.binary()), pa.array(links, pa.binary())]),
+            })
+
+        found = packets.groupBy("super", "part").applyInArrow(run, "super int, part int, rank int, word string, n long, block long, size long, ranks binary")
+        met = staged(found.withColumn("kind", F.when(F.col("word").isNull(), "links").otherwise("words")), f"{name}-ranks", "kind")
+        discard(table, only="kind=words")
+        release(self.spark)
+        #: super, part, rank, word, n: every different word of a superblock once, with its count in the rows with learn.
+        self.words = met.filter("kind = 'words'").select("super", "part", "rank", "word", "n")
+        self._links = met.filter("kind = 'links'").select("super", "part", "block", "size", "ranks")
+        self._ranks = met
+
+    def applied(self, resolved: DataFrame, each: Callable[[pa.Table, np.ndarray, pa.Table | None], pa.Table], schema: str) -> DataFrame:
+        """resolved(super, part, rank, ...) for all words -> what `each` makes of a packet's (doc_id, n), of its words' numbers, and of
+        the other columns of resolved by number. The words are deleted, so this is asked once.
         """
 
-        def run(key, asked, known):
-            blocks, out = [], []
-            names, known = known.column("word").combine_chunks(), known.drop_columns(["super", "part", "word"]).combine_chunks()
-            for block, blob in zip(asked.column("block").to_pylist(), asked.column("words").to_pylist()):
-                t = unpacked(blob)
-                blocks.append(block)
-                out.append(packed(known.take(pc.index_in(t.column("word"), value_set=names)).append_column("code", t.column("code"))))
-            return pa.table({"block": pa.array(blocks, pa.int64()), "answer": pa.array(out, pa.binary())})
-
-        release(self.table.sparkSession)
-        found = staged(self.packets.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(run, "block long, answer binary"), f"{self.name}-answers")
-        discard(resolved)
-        discard(self.table, only="kind=words")
-        release(self.table.sparkSession)
-        return found
-
-    def applied(self, found: DataFrame, each: Callable[[pa.Table, np.ndarray, pa.Table | None], pa.Table], schema: str) -> DataFrame:
-        """found(block, answer) -> what `each` makes of a packet's (doc_id, n), of its words' numbers, and of the answers in their order."""
-
-        def run(key, packets, replies):
+        def answer(key, links, known):
+            known = known.sort_by("rank").drop_columns(["super", "part", "rank"]).combine_chunks()
+            out = [packed(known.take(pa.array(from_planes(blob, n)))) for n, blob in zip(links.column("size").to_pylist(), links.column("ranks").to_pylist())]
+            return pa.table({"block": links.column("block"), "part": links.column("part"), "answer": pa.array(out, pa.binary())})
+
+        def apply(key, packets, replies):
             known, size = None, 0
-            if len(replies):
+            parts = next((x for x in packets.column("parts").to_pylist() if x is not None), b"")
+            if parts:
+                replies = replies.sort_by("part")
                 known = pa.concat_tables([unpacked(x) for x in replies.column("answer").to_pylist()])
-                code = known.column("code").to_numpy()
-                order = np.empty(len(code), np.int64)
-                order[code] = np.arange(len(code))
-                known, size = known.drop_columns(["code"]).take(pa.array(order)).combine_chunks(), len(code)
+                order = np.argsort(np.frombuffer(parts, np.uint8), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                known, size = known.take(pa.array(place)).combine_chunks(), len(place)
             out = []
             for docs, blob in zip(packets.column("docs").to_pylist(), packets.column("codes").to_pylist()):
                 docs = unpacked(docs)
@@ -203,4 +220,8 @@ class Blocks:
                 out.append(each(docs, codes, known))
             return pa.concat_tables(out) if out else each(pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), np.zeros(0, np.uint32), None)
 
-        return self.docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+        answers = self._links.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(answer, "block long, part int, answer binary")
+        found = staged(answers, f"{self.name}-answers")
+        discard(resolved, self._ranks)
+        release(self.spark)
+        return self.docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(apply, schema)
