@@ -53,40 +53,91 @@ def test_empty_tables(spark):
         assert out.collect() == []
 
 
-def test_sentencepiece_is_the_library(spark, corpus):
+def as_unigram(v, path, tmp_path):
+    """The model file with the operator's own weights as a unigram model, for the library."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    from trabecula.llm import pieces
+
+    m = proto.ModelProto()
+    m.ParseFromString(open(path, "rb").read())
+    m.trainer_spec.model_type = m.trainer_spec.UNIGRAM
+    for p in m.pieces:
+        if p.piece in v.costs and p.type in (p.NORMAL, p.USER_DEFINED):
+            p.score = -v.costs[p.piece] / pieces.UNIT
+    out = tmp_path / "unigram.model"
+    out.write_bytes(m.SerializeToString())
+    return str(out)
+
+
+def test_sentencepiece_is_the_library(spark, corpus, tmp_path):
     import sentencepiece
 
     from trabecula.llm import pieces
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    v = pieces.load()
+    unigram = as_unigram(v, pieces.MODEL, tmp_path)
+    assert not pieces.load(unigram).merges and pieces.load(unigram).costs == v.costs
+    merged, best = (sentencepiece.SentencePieceProcessor(model_file=m) for m in (pieces.MODEL, unigram))
     texts = {i: t or "" for i, t, _ in corpus}
-    got = pieces.encode(table(spark, corpus)).collect()
-    assert len(got) == len(corpus)
-    for r in got:
-        assert r.ids == sp.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id] and r.n_pieces == len(r.ids)
+    for got, sp in ((pieces.encode(table(spark, corpus)), best), (pieces.encode(table(spark, corpus), unigram), best), (pieces.encode(table(spark, corpus), merges=True), merged)):
+        rows = got.collect()
+        assert len(rows) == len(corpus)
+        for r in rows:
+            assert r.ids == sp.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id] and r.n_pieces == len(r.ids)
 
 
-def test_unigram_models_fold_the_best_path(spark):
-    from trabecula.llm.pieces import Pieces, encode_words, fold_word
+def test_best_paths(spark):
+    from trabecula.llm.pieces import LOST, UNIT, Pieces, best_path, encode_words
 
     rng = random.Random(4)
     names = ["▁", *"abcd", "ab", "▁a", "bc", "abc", "cd", "▁ab"]
     v = Pieces({p: (i + 1, math.log(rng.uniform(0.01, 1))) for i, p in enumerate(names)}, [], 0, ["<unk>", *names], False, True)
 
     def brute(w):
+        """All segmentations; the least cost."""
         if not w:
-            return 0.0, []
-        best = (-math.inf, [])
+            return 0, []
+        best = (math.inf, [])
         for e in range(1, min(len(w), v.longest) + 1):
-            x = v.by_piece.get(w[:e])
-            if x or e == 1:
-                s, ids = brute(w[e:])
-                best = max(best, ((x[1] if x else min(s for _, s in v.by_piece.values()) - 10) + s, [x[0] if x else 0, *ids]))
+            if w[:e] in v.costs or e == 1:
+                c, ids = brute(w[e:])
+                best = min(best, (v.costs.get(w[:e], max(v.costs.values()) + LOST * UNIT) + c, [v.by_piece[w[:e]][0] if w[:e] in v.costs else 0, *ids]))
         return best
 
     words = sorted({" " + "".join(rng.choice("abcdz") for _ in range(rng.randint(1, 9))) for _ in range(60)})
-    got = encode_words(spark, spark.createDataFrame([(0, w) for w in words], "part int, word string"), v).collect()
-    assert {r.word: r.ids for r in got} == {w: brute(w.replace(" ", "▁"))[1] for w in words} == {w: fold_word(w, v) for w in words}
+    long = [" " + "abcdz" * n + "ab" * 40 for n in (40, 51, 52, 300)]  # several chunks of states
+    got = {r.rank: r.ids for r in encode_words(spark, spark.createDataFrame([(0, 0, i, w) for i, w in enumerate(words + long)], "super int, part int, rank int, word string"), v).collect()}
+    assert [got[i] for i in range(len(words))] == [brute(w.replace(" ", "▁"))[1] for w in words]
+    assert [got[i] for i in range(len(got))] == [best_path(w, v) for w in words + long]
+
+
+def test_blocks(spark, corpus):
+    """Many blocks and superblocks, outlying and null ids: every row meets its own words."""
+    from pyspark.sql import functions as F
+
+    from trabecula.llm import scoring
+    from trabecula.llm.vocabulary import Blocks
+
+    rows = corpus + [(10**12, "far away", "s"), (None, "no id one", "s"), (None, "no id two", "s")]
+    docs = table(spark, rows).select("doc_id", F.lit(True).alias("learn"), "text").repartition(3)
+    blocks = Blocks(docs, scoring.cut_tokens, "test", counted=True, block_bytes=3000, per_super=2)
+    assert blocks.docs.select("block").distinct().count() > 6 and blocks.words.select("super").distinct().count() > 2
+    lower = lambda t: "".join(c.lower() if c in string.ascii_uppercase else c for c in t or "")
+    counts = Counter(w for _, t, _ in rows for w in WORD.findall(lower(t)))
+    assert {r.word: r.n for r in blocks.words.groupBy("word").agg(F.sum("n").alias("n")).collect()} == counts
+
+    def each(docs, codes, known):
+        import pyarrow as pa
+
+        words = known.column("word").to_pylist() if known is not None else []
+        ends = np.cumsum(docs.column("n").to_numpy())
+        return pa.table({"doc_id": docs.column("doc_id"), "joined": pa.array([" ".join(words[c] for c in codes[a:b]) for a, b in zip([0, *ends[:-1]], ends)], pa.string())})
+
+    from trabecula.llm.common import staged
+
+    got = blocks.applied(staged(blocks.words, "test-words"), each, "doc_id long, joined string").collect()
+    assert Counter((r.doc_id, r.joined) for r in got) == Counter((i, " ".join(WORD.findall(lower(t)))) for i, t, _ in rows)
 
 
 def test_near_duplicates_lose_no_link(spark, corpus):
@@ -153,6 +204,24 @@ def test_substring_dedup(spark, corpus):
     index.drop()
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    from trabecula.llm.substring_dedup import substring_dedup
+
+    rng = random.Random(12)
+    a, b, c = prose(rng, 60), prose(rng, 25), prose(rng, 40)
+    rows = [(1, a), (1, b), (1, a), (2, c + " " + b), (2, None), (None, a), (3, c)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup(table(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert got == sorted([("1", 60, 0), ("1", 60, 0), ("1", 25, 0), ("2", 65, 25), ("2", 0, 0), ("None", 60, 0), ("3", 40, 40)])
+
+
+def test_sets_of_null_ids_keep_their_links(spark):
+    from trabecula.llm.near_dups import near_duplicates
+
+    base = prose(random.Random(13), 120).split()
+    got = near_duplicates(table(spark, [(None, " ".join(base), "s"), (7, " ".join(base + ["more"]), "s"), (None, " ".join(base), "s")])).collect()
+    assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in got) == [("7", 7, 1), ("None", 7, 1), ("None", 7, 1)]
+
+
 def test_exact_dedup(spark, corpus):
     from trabecula.llm.exact_dedup import digest, exact_classes, exact_dedup, split_directory
 
@@ -207,21 +276,58 @@ def test_mixing(spark, corpus):
 
 
 def test_scores(spark, corpus):
-    from trabecula.llm.scoring import Lattice, lm_scores, tokens
+    from trabecula.llm import scoring
+    from trabecula.llm.pieces import MODEL, load
 
-    words = {i: tokens(t) + ["\n"] for i, t, _ in corpus}
+    lower = lambda t: "".join(c.lower() if c in string.ascii_uppercase else c for c in t or "")
+    words = {i: WORD.findall(lower(t)) + ["\n"] for i, t, _ in corpus}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
     c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
-    for r in lm_scores(table(spark, corpus)).collect():
+    prior = scoring.first_weights(load(MODEL))
+    assert sum(prior.values()) == pytest.approx(1)
+    weights, end = scoring.learnt({}, c["\n"], prior)
+    train = [w for w in c if w != "\n"]
+    for _ in range(scoring.ROUNDS):
+        lattice = scoring.Lattice(weights)
+        weights, end = scoring.learnt(dict(zip(lattice.names, lattice.expected(train, np.array([c[w] for w in train], float)))), c["\n"], prior)
+        assert sum(weights.values()) + end == pytest.approx(1)
+    lattice = scoring.Lattice(weights)
+    every = sorted({w for ws in words.values() for w in ws[:-1]})
+    spelt = dict(zip(every, lattice.marginals(every) / math.log(10)))
+    got = scoring.lm_scores(table(spark, corpus)).collect()
+    assert len(got) == len(corpus)
+    for r in got:
         ws = words[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
-    weights = {p: math.log(x) for p, x in {"▁": 0.2, "a": 0.2, "b": 0.2, "ab": 0.1, "▁a": 0.1, "▁ab": 0.2}.items()}
-    assert math.exp(Lattice(weights).marginal("ab")) == pytest.approx(0.2 * 0.2 * 0.2 + 0.2 * 0.1 + 0.1 * 0.2 + 0.2)
-    used = {}
-    Lattice(weights).expected("ab", 1.0, used)
-    assert used["▁ab"] == pytest.approx(0.2 / 0.248) and used["b"] == pytest.approx((0.008 + 0.02) / 0.248)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        assert r.score == pytest.approx(sum(spelt[w] for w in ws[:-1]) + math.log10(end))
+
+
+def test_lattice_sums_all_segmentations():
+    from trabecula.llm.scoring import Lattice
+
+    rng = random.Random(6)
+    names = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "é"]
+    weights = {p: rng.random() for p in names} | {f"<{b}>": rng.random() / 10 for b in range(256)}
+    weights = {p: x / sum(weights.values()) for p, x in weights.items()}
+
+    def ways(w):
+        if not w:
+            return [[]]
+        out = [[w[:e], *rest] for e in range(1, len(w) + 1) if w[:e] in names for rest in ways(w[e:])]
+        return out if w[0] in names else [[f"<{b}>" for b in w[0].encode()] + rest for rest in ways(w[1:])]
+
+    words = ["", "a", "zé", "abab", "ßba", *("".join(rng.choice("abz") for _ in range(7)) for _ in range(20))]
+    every = [[(math.prod(weights[p] for p in way), way) for way in ways("▁" + w)] for w in words]
+    lattice = Lattice(weights)
+    assert np.exp(lattice.marginals(words)) == pytest.approx([sum(p for p, _ in e) for e in every])
+    used = Counter()
+    for k, e in enumerate(every):
+        for p, way in e:
+            for piece in way:
+                used[piece] += (k + 1) * p / sum(x for x, _ in e)
+    assert dict(zip(lattice.names, lattice.expected(words, np.arange(1.0, len(words) + 1)))) == pytest.approx({p: used[p] for p in lattice.names})
 
 
 def test_secrets(spark, corpus):
@@ -385,10 +491,22 @@ def test_pipeline_stages_are_written(spark, monkeypatch):
 
 def test_pipeline_decodes(spark, corpus):
     import corpus_pipeline as p
-    import sentencepiece
 
     from trabecula.llm import pieces
 
-    sp, texts = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), {i: t or "" for i, t, _ in corpus}
+    texts, v = {i: t or "" for i, t, _ in corpus}, pieces.load()
     got = p.pieces_stage(spark, table(spark, corpus), "").collect()
-    assert {r.doc_id: (r.ids, r.decoded_sha256) for r in got} == {i: (sp.encode(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+    assert {r.doc_id: (pieces.decode(r.ids, v), r.decoded_sha256) for r in got} == {i: (t, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = "doc_id long, text string, lang string, source string, mix_times int, mix_turn int, quality_score int, exact_key int, near_key int"
+    rows = [(1, "one two", "en", "a", 1, 1, 1, 1, 1), (1, "one two", "en", "a", 1, 1, 1, 1, 1), (None, None, None, None, None, None, None, None, None), (2, "", "en", None, 0, 0, 0, 0, 0)]
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, spark.createDataFrame([], names), str(tmp_path)).collect() == [], name
+        out = stage(spark, spark.createDataFrame(rows, names), str(tmp_path))
+        assert out.columns == spark.createDataFrame(rows, names).columns and out.filter("doc_id = 1").count() >= 1, name

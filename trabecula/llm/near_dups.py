@@ -174,12 +174,14 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     met = components(keyed.join(shared.hint("merge"), "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    met = staged(met.join(nodes.select(F.col("node").alias("id"), "set_id", "n_words"), "id").filter("set_id is not null"), "near-components")
-    # nulls in set_id: a set of null ids only can't be fetched by id; it keeps its own class
+    met = staged(met.join(nodes.select(F.col("node").alias("id"), "set_id", "n_words"), "id"), "near-components")
     size = met.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"), F.count("*").alias("members"))
     dealt = met.join(size.filter("members > 1"), "root").select("root", "blocks", F.col("id").alias("node"), "set_id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
     # merged at every size: a broadcast of what happens to be small would only make small runs unlike large ones
     texts = docs.select("doc_id", "text").join(dealt.hint("merge"), F.col("doc_id") == F.col("set_id"))
+    # sets of null ids only are fetched by their hash
+    nameless = with_nodes(docs.filter("doc_id is null").select("doc_id", "text"), "set").groupBy("set").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    texts = texts.unionByName(nameless.join(dealt.filter("set_id is null").hint("merge"), F.col("set") == F.col("node")).select(texts.columns))
     paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = paired.repartition(parts, "root", "i", "j").select("root", "i", "j", "own", "node", word_hashes(F.col("text")).alias("hashes"))

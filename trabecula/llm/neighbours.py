@@ -180,12 +180,12 @@ def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, orderings: int =
     `modulus` finds among all other rows, by cosine in double precision, ties to the smaller vec_id.
 
     Rows whose vector is null, empty, zero, of another width than most or holds null or non-finite components take no part, nor
-    do null ids. Repeated rows of one id count once. With fewer than k candidates all are returned; an empty table gives an
+    do null ids. Of several rows of one id the least vector counts. With fewer than k candidates all are returned; an empty table gives an
     empty result. Other columns aren't read. `recall` is the share of true neighbours that the calibrated reach must find on at
     most `calibrate` queries (the bound of what the driver gathers).
     """
     spark = vectors.sparkSession
-    rows = staged(valid_vectors(vectors).dropDuplicates(["vec_id"]), "ann-rows")
+    rows = staged(valid_vectors(vectors).groupBy("vec_id").agg(F.min("vec").alias("vec")), "ann-rows")
     ask = F.pmod(F.col("vec_id"), F.lit(modulus)) == 0
     few = Window.partitionBy("vec").orderBy("vec_id")
     classes = rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.max(ask).cast("int").alias("asked"))

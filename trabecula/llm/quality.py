@@ -35,15 +35,15 @@ _NAMES = ("A", "a", "0")
 
 
 def shape(word: str) -> str:
-    """Runs of capitals, small letters and digits as A, a and 0, other characters once for each run; the first eight of them.
+    """Runs of capitals, small letters and digits as A, a and 0, other characters once for each run.
 
     Letters beyond ASCII are taken for a small or a capital e.
     """
     if word.isalpha() and (word.islower() or word.istitle() and word[1:].islower()):  # most words
         return "a" if word.islower() else "Aa"
     if not word.isascii():
-        word = "".join(c if c < "\x80" else "E" if c.isupper() else "e" if c.isalpha() else c for c in word[:64])
-    return "".join([m[4] or _NAMES[m.lastindex - 1] for m in _RUNS.finditer(word)][:8])
+        word = "".join(c if c < "\x80" else "E" if c.isupper() else "e" if c.isalpha() else c for c in word)
+    return "".join([m[4] or _NAMES[m.lastindex - 1] for m in _RUNS.finditer(word)])
 
 
 class Featurizer:
@@ -132,12 +132,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     """docs(doc_id, text), labels(doc_id, quality): the caller has left out what may not be learnt from.
 
-    Ids labelled more than once count by their mean, from 0.5 as 1; null ids and labels are left out. The sample is the
+    Ids labelled more than once count by their mean, from 0.5 as 1; null ids and labels are left out. Of several rows of one id
+    the least text is learnt from. The sample is the
     most_labelled labelled ids with the smallest hashes; it bounds what is collected and broadcast.
     """
     labelled = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("sample_label"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "sample_label").agg(F.min("text").alias("text"))
     rows = chosen.select("text", "sample_label").mapInArrow(_vectors, "label int, x binary").collect()
     counts = {r[0]: r[1] for r in docs.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect()}
     n = max(counts.get(-1, 0), 1)

@@ -4,7 +4,7 @@ The fingerprint of a window of WINDOW words is the hash of its least GRAM-word r
 fingerprints and neighbouring windows mostly share one: about one position in seven is kept. Each batch's fingerprints are an
 immutable run, a table bucketed and sorted by fingerprint. A new run is merge-joined with itself and with the runs before it,
 bucket by bucket without a shuffle; the positions whose fingerprint occurs elsewhere are what could repeat. Runs are compacted
-into one when FAN have gathered. Only the windows at those positions are then verified: their own 100-bit hashes are grouped,
+into one when FAN have gathered. Only the windows at those positions are then verified: their own hashes of 98 bits are grouped,
 the earliest of a group stays, and every later one marks its words.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, release, staged
-from .shingles import flat, runs, slices, word_hashes
+from .shingles import flat, mixed, runs, slices, word_hashes
 
 WINDOW, GRAM, FAN = 20, 6, 2
-#: A window's start has the low bits of its place, 36 more bits of its hash the high ones.
-START_BITS = 28
+#: A window's start has the low bits of its place, 34 more bits of its hash the high ones. A string of 2 GB has fewer words.
+START_BITS = 30
 
 
 def least_grams(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +109,27 @@ class FingerprintIndex:
         self.runs = []
 
 
+class Offsets:
+    """Where the texts of one id begin when its different texts are put one after another; rows come in the order of (doc_id, key)."""
+
+    def __init__(self) -> None:
+        self.id = self.key = None
+        self.begin = self.end = 0
+
+    def __call__(self, ids: list, keys: list, sizes: list[int]) -> np.ndarray:
+        out = np.zeros(len(ids), np.int64)
+        for i, (doc_id, key, n) in enumerate(zip(ids, keys, sizes)):
+            if doc_id != self.id:
+                self.begin, self.end = 0, n
+            elif key != self.key:
+                self.begin, self.end = self.end, self.end + n
+            self.id, self.key = doc_id, key
+            out[i] = self.begin
+        if len(out) and out.max() >= 1 << START_BITS:
+            raise OverflowError(f"the texts of one id have over {1 << START_BITS} words")
+        return out
+
+
 def _windows(window: int, gram: int):
     """Documents with the positions that could repeat -> for each window there: hash, doc_id, start with more bits of the hash.
 
@@ -117,22 +138,27 @@ def _windows(window: int, gram: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = Offsets()
         for b in (part for batch in batches for part in slices(batch.filter(batch.column("positions").is_valid()))):
             hashes, offsets = flat(b.column("hashes"))
+            begin = begins(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), np.diff(offsets).tolist())
             starts, at, _ = least_grams(hashes, offsets, window, gram)
             pos, where = flat(b.column("positions"))
             hot = np.zeros(len(hashes) + 1, bool)
-            hot[pos.view(np.int64) + np.repeat(offsets[:-1], np.diff(where))] = True
+            pos, row = pos.view(np.int64), np.repeat(np.arange(len(b)), np.diff(where))
+            own = pos < np.diff(offsets)[row]  # a position may be of another text of the id
+            hot[pos[own] + offsets[row[own]]] = True
             starts = starts[hot[at]] if len(starts) else starts
-            h, more = runs(hashes, window, 1)[starts], runs(hashes, window, 2)[starts] >> np.uint64(START_BITS)
+            h, more = runs(hashes, window, 1)[starts], runs(mixed(hashes), window, 2)[starts] >> np.uint64(START_BITS)
             row = np.searchsorted(offsets, starts, "right") - 1
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            start = starts - offsets[row]
+            start = starts - offsets[row] + begin[row]
             order = np.lexsort((start, ids, more, h))
             again = np.zeros(len(order), bool)
             again[1:] = (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])
+            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order)))) if len(order) else order
             late = np.empty(len(order), bool)
-            late[order] = again
+            late[order] = again & ((ids[order] != ids[order][head]) | (start[order] != start[order][head]))  # equal rows are one
             packed = (more << np.uint64(START_BITS)) | start.astype(np.uint64)
             own, begin = np.unique(row[late], return_index=True)  # rows come in order, so late ones of a document are together
             lists = [x.tolist() for x in np.split(start[late], begin[1:])] if len(own) else []
@@ -158,10 +184,13 @@ def covered(n: int, starts: list[int], window: int) -> np.ndarray:
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = Offsets()
         for b in batches:
             out = []
-            for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist()):
+            for text, starts, doc_id, key in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "doc_id", "key"))):
                 ws = WORD_RE.findall(text or "")
+                begin = int(begins([doc_id], [key], [len(ws)])[0])
+                starts = [x - begin for x in starts or () if begin <= x < begin + len(ws)]
                 kept = ws
                 spans: list[list[int]] = []
                 if starts:
@@ -183,10 +212,10 @@ def remove_repeats(docs: DataFrame, hits: DataFrame, window: int = WINDOW, gram:
     docs is dealt by doc_id once; both joins of the plan use that exchange.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartition(parts, "doc_id")
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).repartition(parts, "doc_id")
     lists = hits.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("long")).alias("positions"))
     # a left join, as for the result: an inner one would filter ids below the exchange, and so need an exchange of its own
-    hot = dealt.join(lists, "doc_id", "left").select("doc_id", F.when(F.col("positions").isNotNull(), word_hashes(F.col("text"))).alias("hashes"), "positions")
+    hot = dealt.join(lists, "doc_id", "left").sortWithinPartitions("doc_id", "key").select("doc_id", "key", F.when(F.col("positions").isNotNull(), word_hashes(F.col("text"))).alias("hashes"), "positions")
     rows = hot.mapInArrow(_windows(window, gram), "h long, doc_id long, packed long, late array<long>").repartition(parts, "h")
     at = F.struct("doc_id", F.col("packed").bitwiseAND((1 << START_BITS) - 1).alias("start"))
     same = Window.partitionBy("h", "more")
@@ -194,7 +223,7 @@ def remove_repeats(docs: DataFrame, hits: DataFrame, window: int = WINDOW, gram:
     later = judged.filter("late is not null or at <> first").select("at.doc_id", F.explode(F.coalesce("late", F.array("at.start"))).alias("start"))
     # dealt before it is grouped: lists of one element would only make the exchange larger
     starts = later.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return dealt.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, spans array<array<int>>")
+    return dealt.join(starts, "doc_id", "left").sortWithinPartitions("doc_id", "key").select("doc_id", "key", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, spans array<array<int>>")
 
 
 def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -203,8 +232,9 @@ def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, gra
     A window is `window` consecutive words of one document. Each word covered by a window whose words also start earlier (in a
     smaller doc_id, or before in the same document) is removed; kept has the other words joined by one space, spans the removed
     ranges of word numbers, end exclusive. Null and empty texts have no words. Documents are added to a fingerprint index in
-    `batches` ranges of doc_id. Rows with a null doc_id are left as they are and remove nothing. doc_id is taken to be a key:
-    equal rows are judged by one of them. Empty tables give empty results. Other columns aren't read.
+    `batches` ranges of doc_id. Rows with a null doc_id are left as they are and remove nothing. Equal rows are judged as one;
+    different texts of one doc_id are parts of one document, in the order of their hashes, and no window spans two of them.
+    Empty tables give empty results. Other columns aren't read.
     """
     spark = docs.sparkSession
     known = docs.select("doc_id", "text").filter("doc_id is not null")
