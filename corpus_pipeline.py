@@ -1,11 +1,16 @@
-"""A corpus pipeline of five stages: quality filter, exact and near deduplication, mixing, tokenising."""
+"""A corpus pipeline of five stages: quality filter, exact and near deduplication, mixing, tokenising.
+
+All stages but the last return the columns of their input, whatever these are; names of their own columns give way to those.
+Null texts count as empty. Rows of null ids are judged for quality and taken by the mix like others, and never removed as
+copies. Rows of one id are told apart by their texts. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import A_Z, LOWER_A_Z, bucket_of, staged, table
+from trabecula.llm.common import A_Z, LOWER_A_Z, bucket_of, discard, staged, table
 from trabecula.llm.exact_dedup import exact_dedup
 from trabecula.llm.mixing import mix
 from trabecula.llm.near_dups import near_duplicates, with_nodes
@@ -47,12 +52,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes its words, to the nearest whole number; what it doesn't take goes.
 
-    A source's stream is cut at one place, so that at most one document of a source is taken in part.
+    A source's stream is cut at one place, so that at most one document of a source is taken in part. Rows of one id are repeated
+    alike, by what the mix takes of all of them; texts without words have no words to take and go.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
-    times = taken.filter("mix_size > 0").select(F.col("doc_id").alias("mix_id"), F.round(F.col("mix_taken") / F.col("mix_size")).cast("int").alias("mix_times")).filter("mix_times > 0")
-    met = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["mix_id"]))
-    return met.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(docs[c] for c in docs.columns))
+    own, n, turn = (unused(docs, x) for x in ("mix_id", "mix_times", "mix_turn"))
+    taken = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).filter("size > 0")
+    times = taken.select(F.col("doc_id").alias(own), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)).filter(F.col(n) > 0)
+    met = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times[own]))
+    return met.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(docs[c] for c in docs.columns))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +81,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{n}")
+            discard(before)
     return docs
