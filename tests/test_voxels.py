@@ -1,5 +1,6 @@
 import math
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -178,7 +179,7 @@ def tube():
 
 def test_growth_and_thinning(spark):
     x = table(spark, tube())
-    skeleton, runs = mcp.mcp_skeletons(x)
+    skeleton, runs = mcp.mcp_skeletons(x, mcp.MCPConfig(min_object_size=1))
     got = {(r.i, r.j, r.k) for r in skeleton.collect()}
     r = runs.first()
     assert got < set(tube()) and (r.ri, r.rj, r.rk) in got and r.paths >= 1 and not r.capped
@@ -209,19 +210,44 @@ def test_files(spark, tmp_path):
     x = np.zeros((8, 20, 30), np.uint8)
     x[tuple(np.array(tube()).T)] = 1
     aff = np.diag([2.0, 2.0, 2.0, 1.0])
-    (tmp_path / "in").mkdir()
+    aff[2, 3] = -5.0
+    (tmp_path / "in" / "sub").mkdir(parents=True)
     for name in ("Lnet_i1_a.nii.gz", "Lnet_i1_b.nii"):
         (tmp_path / "in" / name).write_bytes(nifti.encode(x, aff, (2.0, 2.0, 2.0), "mm", name.endswith("gz")))
+    (tmp_path / "in" / "sub" / "Lnet_i1_b.nii").write_bytes(nifti.encode(x[:, ::-1], aff, (2.0, 2.0, 2.0), "mm", False))
     n = nifti.decode((tmp_path / "in" / "Lnet_i1_b.nii").read_bytes())
     assert (n.data == x).all() and n.unit == "mm" and n.spacing == (2.0, 2.0, 2.0) and (n.affine == aff).all()
-    made = api.skeletonise(spark, str(tmp_path / "in"), str(tmp_path / "out"))
-    assert len(made) == 2
+    made = api.skeletonise(spark, str(tmp_path / "in"), str(tmp_path / "out"), min_object_size=1)
+    # equal names in two folders stay apart
+    assert sorted(p.removeprefix(str(tmp_path)) for p in made) == [f"/out/{p}_centreline.nii.gz" for p in ("Lnet_i1_a", "Lnet_i1_b", "sub/Lnet_i1_b")]
+    files = api.graphs(spark, str(tmp_path / "out"), str(tmp_path / "graphs"))
+    assert sorted(p.removeprefix(str(tmp_path)) for p in files) == [f"/graphs/{p}_centreline.graphml" for p in ("Lnet_i1_a", "Lnet_i1_b", "sub/Lnet_i1_b")]
+    import json
+    import xml.etree.ElementTree as et
+
+    ns = "{http://graphml.graphdrawing.org/xmlns}"
+    for f in files:
+        root = et.parse(f).getroot()
+        cells = lambda e: {d.get("key")[2:]: d.text for d in e.findall(f"{ns}data")}
+        for e in map(cells, root.iter(f"{ns}edge")):
+            assert json.loads(e["centerline_points"]) == [[2.0 * i, 2.0 * j, 2.0 * k - 5.0] for i, j, k in json.loads(e["centerline_voxels"])]
+        for e in map(cells, root.iter(f"{ns}node")):
+            i, j, k = json.loads(e["voxel_pos"])
+            assert e["name"] == e["proto_id"] and [float(e[c]) for c in "XYZ"] == [2 * i, 2 * j, 2 * k - 5]
+            assert (e["at_sample_border"] == "true") == any(p in (0, n - 1) for v in json.loads(e["voxels"]) for p, n in zip(v, x.shape))
+    assert api.view(spark, str(tmp_path / "graphs")).count() == 3
+    for name in ("in", "out"):
+        shutil.rmtree(tmp_path / name / "sub")
     out = api.score(spark, str(tmp_path / "out"), str(tmp_path / "out"))
     assert [r.p for r in out.collect()] == [1.0, 1.0]
-    files = api.graphs(spark, str(tmp_path / "out"), str(tmp_path / "graphs"))
-    assert len(files) == 2 and api.view(spark, str(tmp_path / "graphs")).count() == 2
+    one = str(tmp_path / "in" / "Lnet_i1_b.nii")
+    assert cli.main(["run", "--algorithm", "mcp", "-i", one, "-o", str(tmp_path / "one"), "--min-object-size", "1"]) == 0
+    assert cli.main(["graphgen", "-i", str(tmp_path / "one.nii.gz"), "-o", str(tmp_path / "one.graphml")]) == 0
+    assert (tmp_path / "one.graphml").read_bytes().count(b"<edge ") > 0
     with pytest.raises(SystemExit):
         cli.build_parser().parse_args(["run"])
+    with pytest.raises(SystemExit):
+        cli.build_parser().parse_args(["evaluate", "--pred", "a", "--ref", "b"])
 
 
 @pytest.mark.parametrize(("body", "says"), [

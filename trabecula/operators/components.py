@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -14,19 +16,42 @@ from ..functions.grid import OFFSETS13, delta, key_of, unkeyed
 from .stencil import voxel_edges
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again, to cut its plan."""
+    """df written to the shared folder of spark.checkpoint.dir and read again, to cut its plan.
+
+    The table goes with the session's JVM, or with discard(). Only a local session may do without the setting.
+    """
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/trabecula"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = f"{tempfile.gettempdir()}/trabecula-{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/voxels-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, at = _place(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialised() that nothing reads any more."""
+    for t in tables:
+        store, at = _place(t.sparkSession, t.written_at)
+        store.delete(at, True)
 
 
 def fixpoint_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(volume_id, a, b) -> volume_id, key, root: the smallest key that each key reaches. For volumes too large for a task.
 
-    Large-star and small-star steps in turn; keys without an edge have no row.
+    Large-star and small-star steps in turn; keys without an edge have no row. An error if most_rounds don't suffice.
     """
     now = materialised(edges.filter("a <> b").select("volume_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -37,10 +62,13 @@ def fixpoint_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = new
         both = now.unionByName(now.select("volume_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("volume_id", "a").agg(F.min("b").alias("m")).select("volume_id", "a", F.least("a", "m").alias("m"))
-        large = materialised(both.join(low, ["volume_id", "a"]).filter("b > a").select("volume_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large, old = materialised(both.join(low, ["volume_id", "a"]).filter("b > a").select("volume_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()), now
         low = large.groupBy("volume_id", "a").agg(F.min("b").alias("m"))
         small = large.join(low, ["volume_id", "a"]).filter("b <> m").select("volume_id", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("volume_id", "a", F.col("m").alias("b")))
         now = materialised(small.distinct())
+        discard(large, old)
+    else:
+        raise RuntimeError(f"components are still changing after {most_rounds} rounds")
     stars = now.select("volume_id", F.col("a").alias("key"), F.col("b").alias("root"))
     return stars.unionByName(stars.select("volume_id", F.col("root").alias("key"), "root").distinct())
 

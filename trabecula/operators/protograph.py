@@ -91,9 +91,18 @@ def protograph(voxels: DataFrame, shape: tuple[int, int, int], affine: tuple[flo
     placed = nodes.select("volume_id", "node_id", F.element_at(F.array(F.lit("endpoint"), F.lit("regular"), F.lit("branch"), F.lit("synthetic_loop")), F.col("cls")).alias("kind"), as_voxels(F.col("keys")).alias("voxels"))
     mean = lambda c: F.aggregate(F.transform("voxels", lambda v: v[c].cast("double")), F.lit(0.0), lambda a, x: a + x) / F.size("voxels")
     placed = placed.withColumns({f"c{c}": mean(c) for c in "ijk"})
-    world = {n: sum((F.col(f"c{c}") * affine[4 * r + q] for q, c in enumerate("ijk")), F.lit(affine[4 * r + 3])) for r, n in enumerate("xyz")}
-    edge_of = lambda v: (v["i"] <= 0) | (v["j"] <= 0) | (v["k"] <= 0) | (v["i"] >= shape[0] - 1) | (v["j"] >= shape[1] - 1) | (v["k"] >= shape[2] - 1)
-    return placed.withColumns(world).withColumn("at_sample_border", F.exists("voxels", edge_of)), edges
+    return located(placed, tuple(map(F.lit, shape)), tuple(map(F.lit, affine))), edges
+
+
+def world(at: tuple[Column, ...], affine: tuple[Column, ...]) -> dict[str, Column]:
+    """x, y, z of a voxel position by an affine of 16 numbers, row by row."""
+    return {n: sum((at[q] * affine[4 * r + q] for q in range(3)), affine[4 * r + 3]) for r, n in enumerate("xyz")}
+
+
+def located(nodes: DataFrame, shape: tuple[Column, ...], affine: tuple[Column, ...]) -> DataFrame:
+    """nodes with x, y, z and at_sample_border by the shape and affine of their volumes."""
+    at_edge = lambda v: (v["i"] <= 0) | (v["j"] <= 0) | (v["k"] <= 0) | (v["i"] >= shape[0] - 1) | (v["j"] >= shape[1] - 1) | (v["k"] >= shape[2] - 1)
+    return nodes.withColumns(world((F.col("ci"), F.col("cj"), F.col("ck")), affine) | {"at_sample_border": F.exists("voxels", at_edge)})
 
 
 def branch_counts(voxels: DataFrame) -> DataFrame:
@@ -122,6 +131,3 @@ def require_graph(nodes: DataFrame, edges: DataFrame) -> None:
 def json_points(voxels: Column) -> Column:
     """[[i,j,k],...] as compact JSON."""
     return F.to_json(F.transform(voxels, lambda v: F.array(v["i"], v["j"], v["k"])))
-
-
-__all__ = ["branch_counts", "class_components", "json_points", "key_of", "ordered_path", "protograph", "require_graph"]

@@ -4,23 +4,40 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
-from ..operators.matching import match_references, stem
-from ..operators.protograph import protograph
+from ..operators.matching import match_references
+from ..operators.protograph import located, protograph
 from ..operators.voxelgraph import voxel_graphs
 from ..sources import graphml, nifti, sinks
 from .registry import get_backend
 
 
+def relative(spark: SparkSession, path: Column, source: str) -> Column:
+    """The path of a file under source, or its name alone if source is the file or a pattern."""
+    root = nifti.qualified(spark, source).rstrip("/") + "/"
+    return F.when(path.startswith(root), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
+
+
+def bare(path: Column) -> Column:
+    """The path without the extension of a volume."""
+    return F.regexp_replace(path, r"\.nii(\.gz)?$", "")
+
+
+def is_file(source: str) -> bool:
+    return source.endswith((".nii", ".nii.gz"))
+
+
 def skeletonise(spark: SparkSession, source: str, target: str, algorithm: str = "mcp", **options: Any) -> list[str]:
-    """Skeletons of all volumes under source, written to target as <name>_centreline.nii.gz."""
+    """Skeletons of all volumes under source, written to the same folders under target as <name>_centreline.nii.gz; that of a single
+    file is written as target.
+    """
     backend = get_backend(algorithm)
     volumes = nifti.read_volumes(spark, source)
     skeleton, _ = backend.run(nifti.read_voxels(spark, source), backend.build_config(options))
-    out = volumes.withColumn("path", F.concat(F.lit(target.rstrip("/") + "/"), stem(F.col("path")), F.lit("_centreline.nii.gz")))
+    out = volumes.withColumn("path", F.lit(sinks.nifti_name(target)) if is_file(source) else F.concat(F.lit(target.rstrip("/") + "/"), bare(relative(spark, F.col("path"), source)), F.lit("_centreline.nii.gz")))
     return sinks.store(sinks.nifti_files(skeleton, out, "label" if options.get("label_objects") else None, "i4" if options.get("label_objects") else "u1"))
 
 
@@ -31,7 +48,7 @@ def score(spark: SparkSession, predictions: str, references: str, radius: float
     bad = pairs.filter("problem is not null").limit(10).collect()
     if bad:
         raise ValueError("; ".join(f"{r.pred_path}: {r.problem}" for r in bad))
-    own = F.broadcast(pairs.select(F.col("ref_path").alias("r"), F.col("pred_path").alias("pair")))  # a row for each file
+    own = pairs.select(F.col("ref_path").alias("r"), F.col("pred_path").alias("pair"))
     named = lambda x: x.join(own, x["volume_id"] == own["r"]).withColumn("volume_id", F.col("pair")).drop("r", "pair")
     problems = ev.unmatched(pv, named(rv), unit).limit(10).collect()
     if problems:
@@ -54,14 +71,16 @@ def write_scores(result: DataFrame, radius: float, unit: str, folder: str) -> No
 
 
 def graphs(spark: SparkSession, source: str, target: str) -> list[str]:
-    """Proto-graphs of all skeletons under source, written to target as GraphML. Volumes of one shape and affine go together."""
-    volumes = nifti.read_volumes(spark, source)
-    done = []
-    for g in volumes.select("ni", "nj", "nk", "affine").distinct().collect():
-        same = (F.col("ni") == g.ni) & (F.col("nj") == g.nj) & (F.col("nk") == g.nk) & (F.col("affine") == F.array(*map(F.lit, g.affine)))
-        v = nifti.read_voxels(spark, source).join(volumes.filter(same).select("volume_id"), "volume_id", "left_semi").withColumn("volume_id", stem(F.col("volume_id")))
-        done += sinks.store(sinks.graphml_files(*protograph(v, (g.ni, g.nj, g.nk), tuple(g.affine)), target))
-    return done
+    """Proto-graphs of all skeletons under source, written to the same folders under target as <name>.graphml, all in one job; that of a single file
+    is written as target.
+    """
+    named = lambda x: x.withColumn("volume_id", bare(relative(spark, F.col("volume_id"), source)))
+    volumes = named(nifti.read_volumes(spark, source)).select("volume_id", "ni", "nj", "nk", "affine")
+    nodes, edges = protograph(named(nifti.read_voxels(spark, source)), (1, 1, 1))
+    # positions and borders by each volume's own affine and shape
+    placed = located(nodes.join(volumes, "volume_id"), tuple(F.col(c) for c in ("ni", "nj", "nk")), tuple(F.get("affine", F.lit(n)) for n in range(16)))
+    files = sinks.graphml_files(placed, edges, volumes, target)
+    return sinks.store(files.withColumn("path", F.lit(target)) if is_file(source) else files)
 
 
 def simplified_graphs(spark: SparkSession, source: str, prune_length: float = 0.0, filter_length: float = 0.0) -> tuple[DataFrame, DataFrame]:

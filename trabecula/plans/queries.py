@@ -131,16 +131,20 @@ def vox_cheapest_path(spark, d):
     return wavefront.cheapest_paths(f, wavefront.root_voxels(f), last)
 
 
+#: Small objects count too, whatever the default.
+EVERY = mcp.MCPConfig(min_object_size=1)
+
+
 def vox_mcp(spark, d):
-    return mcp.mcp_skeletons(fixture(spark, d, "tube"))[0]
+    return mcp.mcp_skeletons(fixture(spark, d, "tube"), EVERY)[0]
 
 
 def vox_mcp_fuzzy(spark, d):
-    return mcp.mcp_skeletons(fixture(spark, d, "fuzzy"))[1]
+    return mcp.mcp_skeletons(fixture(spark, d, "fuzzy"), EVERY)[1]
 
 
 def vox_mcp_summary(spark, d):
-    return mcp.run_summary(mcp.mcp_skeletons(fixture(spark, d, "tube"))[1])
+    return mcp.run_summary(mcp.mcp_skeletons(fixture(spark, d, "tube"), EVERY)[1])
 
 
 def vox_thinning(spark, d):

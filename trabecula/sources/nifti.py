@@ -94,6 +94,12 @@ def encode(data: np.ndarray, affine: np.ndarray, spacing=(1.0, 1.0, 1.0), unit:
     return gzip.compress(raw, mtime=0) if compressed else raw
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as the store names it, which is how paths of files begin."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{nii,nii.gz}")
     return reader.load(path)

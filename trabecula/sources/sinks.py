@@ -55,12 +55,17 @@ def nifti_files(voxels: DataFrame, volumes: DataFrame, value: str | None = None,
     return kinds.groupBy("volume_id").cogroup(v.groupBy("v")).applyInArrow(run, "path string, content binary")
 
 
-def graphml_files(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
-    """nodes and edges of operators.protograph.protograph -> path, content, a file for each volume; a graph without edges fails."""
-    from ..operators.protograph import json_points
+def graphml_files(nodes: DataFrame, edges: DataFrame, volumes: DataFrame, folder: str) -> DataFrame:
+    """nodes and edges of operators.protograph.protograph, volumes(volume_id, affine) -> path, content, a file for each volume, whose
+    id is its path under the folder; a graph without edges fails."""
+    from ..operators.protograph import json_points, world
+
+    affine = tuple(F.get("affine", F.lit(n)) for n in range(16))
+    points = F.to_json(F.transform("voxels", lambda v: F.array(*world((v["i"], v["j"], v["k"]), affine).values())))
+    edges = edges.join(volumes.select("volume_id", "affine"), "volume_id").withColumn("points", points)
 
     n = nodes.select("volume_id", F.struct("node_id", F.to_json(F.array("ci", "cj", "ck")).alias("voxel_pos"), json_points(F.col("voxels")).alias("voxels"), "kind", "x", "y", "z", "at_sample_border").alias("n"))
-    e = edges.select("volume_id", F.struct("edge_id", "node1", "node2", json_points(F.col("voxels")).alias("voxels"), "n").alias("e"))
+    e = edges.select("volume_id", F.struct("edge_id", "node1", "node2", json_points(F.col("voxels")).alias("voxels"), "n", "points").alias("e"))
     both = n.groupBy("volume_id").agg(F.array_sort(F.collect_list("n")).alias("nodes")).join(e.groupBy("volume_id").agg(F.array_sort(F.collect_list("e")).alias("edges")), "volume_id", "left")
 
     def run(batches):
@@ -85,9 +90,9 @@ def graphml(nodes: list[dict], edges: list[dict]) -> bytes:
     out.append('  <graph id="G" edgedefault="undirected">')
     cell = lambda k, c, v: f"      <data key={quoteattr(f'{k}_{c}')}>{escape(str(v).lower() if isinstance(v, bool) else str(v))}</data>"
     for n in nodes:
-        values = (n["node_id"], f"n{n['node_id']}", n["x"], n["y"], n["z"], n["voxel_pos"], n["voxels"], n["kind"], n["at_sample_border"])
+        values = (n["node_id"], n["node_id"], n["x"], n["y"], n["z"], n["voxel_pos"], n["voxels"], n["kind"], n["at_sample_border"])
         out += [f'    <node id="n{n["node_id"]}">', *(cell("n", c, v) for (c, _), v in zip(NODE, values)), "    </node>"]
     for e in edges:
-        values = (e["edge_id"], e["voxels"], e["voxels"], e["n"])
+        values = (e["edge_id"], e["voxels"], e["points"], e["n"])
         out += [f'    <edge source="n{e["node1"]}" target="n{e["node2"]}">', *(cell("e", c, v) for (c, _), v in zip(EDGE, values)), "    </edge>"]
     return "\n".join([*out, "  </graph>", "</graphml>", ""]).encode()
