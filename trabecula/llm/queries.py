@@ -11,13 +11,13 @@ from .common import A_Z, LOWER_A_Z, table
 from .exact_dedup import exact_dedup
 from .licenses import MOSTLY, OTHER, THRESHOLD, license_scan, template_counts
 from .mixing import mix
-from .near_dups import near_duplicates
+from .near_dups import THRESHOLD as THRESHOLD_J, N, near_duplicates
 from .neighbours import nearest
 from .pieces import encode
 from .quality import quality_scores
 from .scoring import lm_scores
 from .secrets import secret_scan
-from .substring_dedup import substring_dedup
+from .substring_dedup import WINDOW, substring_dedup
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
 _TEMPLATES = ", ".join(f"('{name}', '{t}', {n})" for name, counts in template_counts().items() for t, n in counts.items())
 
+#: Words with their places, from 1.
+_WORDS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": f"""
+        WITH RECURSIVE {_WORDS},
+        r AS (SELECT doc_id, string_agg(word, ' ') OVER x AS gram, count(*) OVER x AS n FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING)),
+        g AS (SELECT DISTINCT doc_id, gram FROM r WHERE n = {N} UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {N - 1}),
+        d AS (SELECT w.doc_id, coalesce(s, []) AS s FROM w LEFT JOIN (SELECT doc_id, list_sort(list(gram)) AS s FROM g GROUP BY doc_id) USING (doc_id)),
+        k AS (SELECT s, min(doc_id) AS set_id, count(*) AS n_copies, len(s) AS size FROM d GROUP BY s),
+        e AS (SELECT set_id, size, gram FROM k JOIN g ON doc_id = set_id),
+        l AS (SELECT a.set_id AS a, b.set_id AS b FROM e a JOIN e b ON a.gram = b.gram AND a.set_id <> b.set_id
+            GROUP BY a.set_id, b.set_id, a.size, b.size HAVING count(*) * {1 + THRESHOLD_J} >= {THRESHOLD_J} * (a.size + b.size) - 1e-6),
+        c AS (SELECT set_id AS id, set_id AS root FROM k UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id),
+        m AS (SELECT id, min(root) AS class_id FROM c GROUP BY id)
+        SELECT d.doc_id, m.class_id, k.set_id, k.n_copies, (SELECT count(*) FROM l WHERE l.a = k.set_id) AS n_links FROM d JOIN k USING (s) JOIN m ON m.id = k.set_id""",
+    "op3_substring_dedup": f"""
+        WITH {_WORDS},
+        r AS (SELECT doc_id, pos, string_agg(word, ' ') OVER x AS body, count(*) OVER x AS n FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+        late AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM r WHERE n = {WINDOW}) q WHERE nth > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {WINDOW})) AS pos FROM late),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body FROM p ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+        cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(cut.n, 0) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""",
     "op4_license_scan": f"""
         WITH f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path,
             concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR)) AS dir, text FROM documents),
