@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import n_words, staged
 
-#: Weights by the rank of a source, repeating, and how often a source may be taken at most.
+#: Weights by the rank of a source, repeating, and how often a source may be taken at most; words of a block, and what orders the streams.
 WEIGHTS, MOST = (5, 2, 1), 3
+BLOCK_WORDS, SEED = 2048, 20
 #: A source's stream is ordered in so many hashed ranges, each summed alone, so that no task orders a whole source.
 RANGES = 4096
 #: Slots ranked in one task, and cells by which points meet the sources' intervals.
@@ -76,7 +77,12 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = 2048, seed: int = 20) -> DataFrame:
+def shuffled(seed: int) -> Column:
+    """60 bits of the digest of the seed and the doc_id, null as empty text: the order of a source's stream."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 15), 16, 10).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text, source, ...) -> one row for each row of docs: doc_id, size, source_size, target, taken, mix_order.
 
     size counts the words of the text (null: 0). taken is the number of the row's words that the scheduled blocks hold, repeats
@@ -86,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     """
     sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     targets = staged(source_targets(sized, weights, most), "mix-targets")
-    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_id", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id").alias("shuffled"))
+    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_id", "source_size", "target", shuffled(seed).alias("shuffled"))
     keyed = keyed.withColumn("range", F.pmod(F.shiftright("shuffled", 40), F.lit(RANGES)))
     before = Window.partitionBy("source_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source_id", "range").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import A_Z, LOWER_A_Z, table
 from .exact_dedup import exact_dedup
 from .licenses import MOSTLY, OTHER, THRESHOLD, license_scan, template_counts
-from .mixing import mix
+from .mixing import BLOCK_WORDS, MOST, RANGES, SEED, WEIGHTS, mix
 from .near_dups import THRESHOLD as THRESHOLD_J, N, near_duplicates
 from .neighbours import nearest
 from .pieces import encode
@@ -123,6 +123,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT f.doc_id, f.path, b.own, b.score, CAST(b.line AS INT) AS line, coalesce(b.own, g.given) AS license,
           CASE WHEN b.own IS NOT NULL THEN 'own' WHEN g.given IS NOT NULL THEN 'inherited' END AS basis, CASE WHEN b.own IS NULL AND g.given IS NOT NULL THEN f.dir END AS from_dir
         FROM f LEFT JOIN best b USING (doc_id) LEFT JOIN given g USING (dir)""",
+    "op5_source_mix": f"""
+        WITH {_WORDS},
+        z AS (SELECT d.doc_id, d.source, CAST(len(w.ws) AS BIGINT) AS size FROM documents d JOIN w USING (doc_id)),
+        o AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_id FROM z GROUP BY source),
+        b AS (SELECT *, CAST({list(WEIGHTS)}[(source_id - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight FROM o),
+        v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum({MOST} * source_size) OVER (ORDER BY {MOST} * source_size / weight, source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY {MOST} * source_size / weight, source_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
+        t AS (SELECT source, source_id, source_size, least(CAST({MOST} * source_size AS DOUBLE), weight * max(level) OVER ()) AS target FROM v),
+        n AS (SELECT source_id, CAST(ceil(round(target) / {BLOCK_WORDS}) AS BIGINT) AS blocks, CAST(sum(CAST(ceil(round(target) / {BLOCK_WORDS}) AS BIGINT)) OVER (ORDER BY source_id) AS BIGINT) AS hi FROM t),
+        bits AS (SELECT greatest(1, length(ltrim(bin(max(hi) - 1), '0'))) AS bits FROM n),
+        points AS (SELECT slot, list_sum(list_transform(range(bits), lambda i: ((slot >> CAST(i AS INT)) & 1) << CAST(bits - 1 - i AS INT))) AS point FROM (SELECT bits, unnest(range(1 << CAST(bits AS INT))) AS slot FROM bits) q),
+        slots AS (SELECT slot, source_id, row_number() OVER (PARTITION BY source_id ORDER BY slot) - 1 AS block FROM points JOIN n ON point >= hi - blocks AND point < hi),
+        h AS (SELECT z.doc_id, z.size, t.source_id, t.source_size, t.target, CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(z.doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+            FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
+        s AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source_id ORDER BY (h >> 40) % {RANGES}, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM h),
+        turns AS (SELECT doc_id, source_id, start + turn * source_size AS lo, least(start + turn * source_size + size, CAST(round(target) AS BIGINT)) AS hi FROM s, range({MOST}) AS q(turn) WHERE size > 0),
+        taken AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS taken FROM turns WHERE lo < hi GROUP BY doc_id),
+        first AS (SELECT doc_id, min(slot) AS mix_order FROM (SELECT doc_id, source_id, unnest(range(lo // {BLOCK_WORDS}, (hi - 1) // {BLOCK_WORDS} + 1)) AS block FROM turns WHERE lo < hi) q JOIN slots USING (source_id, block) GROUP BY doc_id)
+        SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(taken, 0) AS taken, mix_order FROM s LEFT JOIN taken USING (doc_id) LEFT JOIN first USING (doc_id)""",
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{A_Z}', '{LOWER_A_Z}') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
