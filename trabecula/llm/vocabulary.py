@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import discard, release, staged
 
 #: Text of a block, text that is cut into words at once, text of one packet of documents, all in bytes.
-BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 24 << 20, 4 << 20, 4 << 20
+BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 32 << 20, 2 << 20, 2 << 20
 PARTS, PER_SUPER = 64, 256
 
 #: Cuts a column of texts into words: all of them in a row, and how many each text has.
@@ -98,7 +98,7 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held, size
+            nonlocal number, size
             rows = pa.Table.from_batches(held).combine_chunks()
             sizes = pc.add(pc.fill_null(pc.binary_length(rows.column("text")), 0), 16).to_numpy()
             found, counts = [], []
@@ -106,8 +106,11 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
                 words, n = cut(rows.column("text").slice(lo, hi - lo).combine_chunks())
                 found.append(words)
                 counts.append(n)
-            coded = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
-            del found
+            ids, held[:] = rows.select(["doc_id"]), []
+            learn = rows.column("learn").to_numpy(zero_copy_only=False) if counted else None
+            del rows
+            coded = pa.chunked_array(found, pa.string()).dictionary_encode().combine_chunks()
+            del found, words
             counts = np.concatenate(counts)
             # frequent words get small numbers
             times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
@@ -115,14 +118,14 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
             number_of = np.empty(len(order), np.uint32)
             number_of[order] = np.arange(len(order))
             words, codes = coded.dictionary.take(pa.array(order)), number_of[coded.indices.to_numpy()]
-            learnt = np.bincount(codes[np.repeat(rows.column("learn").to_numpy(zero_copy_only=False), counts)], minlength=len(words))
+            learnt = np.bincount(codes[np.repeat(learn, counts)], minlength=len(words)) if counted else None
             del coded
             at = np.concatenate([[0], np.cumsum(counts)])
             block, where = part << 32 | number, part_of(words)
             one = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, *row), _SCHEMA)], schema=_SCHEMA)
             parts = where.astype(np.uint8).tobytes()
             for lo, hi in _runs(sizes, DOCS_BYTES):
-                docs = packed(rows.select(["doc_id"]).slice(lo, hi - lo).append_column("n", pa.array(counts[lo:hi], pa.int64())))
+                docs = packed(ids.slice(lo, hi - lo).append_column("n", pa.array(counts[lo:hi], pa.int64())))
                 yield one(-1, None, docs, planes(codes[at[lo] : at[hi]]), parts)
                 parts = None
             # a part's words are in the order of their numbers, so that the numbers needn't travel
@@ -132,7 +135,8 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
                 mine = order[edges[p] : edges[p + 1]]
                 table = {"word": words.take(pa.array(mine))} | ({"n": pa.array(learnt[mine], pa.int64())} if counted else {})
                 yield one(p, packed(pa.table(table)), None, None, None)
-            number, held, size = number + 1, [], 0
+            number, size = number + 1, 0
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             if not len(b):
@@ -218,6 +222,8 @@ class Blocks:
                 if len(codes) and int(codes.max()) >= size:
                     raise RuntimeError("words of a block have no answers")
                 out.append(each(docs, codes, known))
+            del known
+            pa.default_memory_pool().release_unused()
             return pa.concat_tables(out) if out else each(pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), np.zeros(0, np.uint32), None)
 
         answers = self._links.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(answer, "block long, part int, answer binary")
