@@ -269,3 +269,31 @@ def test_matching(spark):
     r = spark.createDataFrame([("b/x1.nii.gz",), ("b/x1_more.nii",), ("b/Lnet_i4_c_ref.nii",), ("b/dup_1.nii",), ("b/dup_2.nii",)], "path string")
     got = {x.pred_path[2:]: (x.ref_path, x.problem) for x in match_references(p, r).collect()}
     assert got == {"x1.nii": ("b/x1.nii.gz", None), "Lnet_i4_c.seg.nii.gz": ("b/Lnet_i4_c_ref.nii", None), "zz.nii": (None, "no reference"), "dup.nii": (None, "several references")}
+
+
+def test_matching_of_names_that_begin_alike(spark):
+    """Many names with one beginning meet by what they share, never pair by pair; the rules are those of plain loops."""
+    import re
+
+    from trabecula.operators.matching import match_references
+
+    rng = random.Random(3)
+    name = lambda: "Lnet_i"[: rng.choice((1, 6, 6))] + "".join(rng.choice("12.") for _ in range(rng.randrange(5)))
+    ps, rs = ([f"{d}/{s}.nii" for s in sorted({name() for _ in range(80)})] for d in "ab")
+    stem = lambda x: x[2:-4]
+    want = {}
+    for p in ps:
+        f = re.match(r"Lnet_i[^.]+", stem(p))
+        fits = [r for r in rs if stem(r).startswith(stem(p)) or stem(p).startswith(stem(r)) or f and stem(r).startswith(f[0])]
+        equal = [r for r in fits if stem(r) == stem(p)]
+        one = equal[0] if len(equal) == 1 else fits[0] if not equal and len(fits) == 1 else None
+        want[p] = (one, None if one else "several references" if fits else "no reference")
+    frames = [spark.createDataFrame([(x,) for x in xs], "path string") for xs in (ps, rs)]
+    assert {x.pred_path: (x.ref_path, x.problem) for x in match_references(*frames).collect()} == want
+    # 20,000 names: pairs of names would be 400 million
+    same = spark.range(20000).selectExpr("concat('a/Lnet_i', id, '_x.nii') AS path")
+    plan = match_references(same, same)._jdf.queryExecution().executedPlan().toString()
+    assert "startswith" not in plan.lower()
+    assert match_references(same, same).filter("pred_path = ref_path").count() == 20000
+    twice = spark.createDataFrame([("a/x.nii",)] * 2, "path string")
+    assert [tuple(x) for x in match_references(twice, frames[1].limit(0).union(twice.limit(1))).collect()] == [("a/x.nii", None, "several references")]
