@@ -297,3 +297,47 @@ def test_matching_of_names_that_begin_alike(spark):
     assert match_references(same, same).filter("pred_path = ref_path").count() == 20000
     twice = spark.createDataFrame([("a/x.nii",)] * 2, "path string")
     assert [tuple(x) for x in match_references(twice, frames[1].limit(0).union(twice.limit(1))).collect()] == [("a/x.nii", None, "several references")]
+
+
+def test_waves_over_neighbour_lists_are_the_plain_ones(spark):
+    """The kernels of growth, paths and fields give what the plain wave over places gives, on odd shapes."""
+    rng = np.random.default_rng(8)
+    for shape in ((1, 1, 1), (4, 1, 6), (5, 6, 4)):
+        mu = np.where(rng.random(shape) < 0.7, rng.integers(1, 9, shape) / 8, 0).astype(np.float32)
+        mu.flat[0] = 1
+        inside, m = mu > 0, mu.astype(float)
+        g = arrays.Graph(inside)
+        fdt = arrays.distance_transform(mu, g)
+        padded = np.pad(inside, 1)
+        out = {p: [math.dist(o, (0, 0, 0)) for o in OFFSETS26 if not padded[tuple(np.add(p, o) + 1)]] for p in g.places}
+        want, _ = arrays.wavefront({p: 0.5 * m[p] * min(x) for p, x in out.items() if x}, shape, lambda p, v, q, d: v + 0.5 * (m[p] + m[q]) * d if inside[q] else None)
+        assert [np.float32(want.get(p, 0)) for p in g.places] == fdt[inside].tolist()
+        fcmb, lsf = arrays.significance(mu, fdt)
+        start = (0, 0, 0)
+        w = lsf.astype(float)
+        cost = lambda p, v, q, d: v + float(arrays.ROOTS[round(d * d) - 1]) / (0.01 + 0.5 * (w[p] + w[q])) ** 2 if inside[q] else None  # noqa: B023, E731
+        value, before = arrays.wavefront({start: 0.0}, shape, cost)
+        for goal in g.places:
+            path = [goal]
+            while path[-1] in before:
+                path.append(before[path[-1]])
+            assert arrays.cheapest_path(lsf, inside, np.arange(inside.size).reshape(shape) == 0, goal) == (path if goal in value else [])
+        reach, _ = arrays.wavefront({start: 3.0}, shape, lambda p, v, q, d: v - d if inside[q] and v - d >= -1e-6 else None, lambda new, old: new < old - 1e-6, sign=-1.0)
+        assert set(map(tuple, np.argwhere(arrays.dilate([start], np.full(shape, 1.5, np.float32), inside)).tolist())) == set(reach)
+        left = inside & (rng.random(shape) < 0.5)
+        assert (g.dense(g.components(left[inside])) == arrays.components(left)).all()
+
+
+def test_fields_in_one_pass_are_the_stencil(spark):
+    lab, _ = components.decompose(table(spark, tube(), SHELL + [(8, 8, 8)]))
+    got = {tuple(r) for r in wavefront.significance_fields(lab).collect()}
+    apart = wavefront.distance_fields(lab).selectExpr("volume_id * 10 + label AS volume_id", "i", "j", "k", "mu", "fdt")
+    assert got == {(r.volume_id // 10, r.volume_id % 10, *r[1:]) for r in stencil.significance_fields(apart).collect()}
+
+
+def test_labels_carry_columns(spark):
+    rows = spark.createDataFrame([(0, 1, 1, 1, 0.5), (0, 1, 1, 1, 0.25), (0, 1, 1, 2, 1.0), (0, 5, 5, 5, 0.75)], "volume_id long, i int, j int, k int, value double")
+    for method in ("kernel", "fixpoint"):
+        kept, objects = components.decompose(rows, 2, method, ("value",))
+        assert sorted(r.value for r in kept.collect()) == [0.25, 0.5, 1.0] and [(r.label, r.n_voxels) for r in objects.collect()] == [(1, 2)]
+        assert components.decompose(rows, 1, method)[0].count() == 3
