@@ -341,3 +341,36 @@ def test_labels_carry_columns(spark):
         kept, objects = components.decompose(rows, 2, method, ("value",))
         assert sorted(r.value for r in kept.collect()) == [0.25, 0.5, 1.0] and [(r.label, r.n_voxels) for r in objects.collect()] == [(1, 2)]
         assert components.decompose(rows, 1, method)[0].count() == 3
+
+
+def test_background_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    shapes = [(1, 1, 1), (1, 5, 4), (5, 1, 4), (4, 5, 6), (6, 5, 4)]
+    filled = [np.argwhere(rng.random(s) < 0.6) for s in shapes]
+    want = []
+    for s, at in zip(shapes, filled):
+        left = {p for p in np.ndindex(s)} - set(map(tuple, at.tolist()))
+        n = 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                p = todo.pop()
+                for q in [tuple(int(x) for x in np.add(p, o)) for o in OFFSETS6]:
+                    if q in left:
+                        left.remove(q)
+                        todo.append(q)
+        want.append(n)
+    volumes = spark.createDataFrame([(v, *s) for v, s in enumerate(shapes)] + [(9, 2, 2, 2)], "volume_id long, ni int, nj int, nk int")
+    got = dict(map(tuple, components.background_counts(table(spark, *(x.tolist() for x in filled)), volumes=volumes).collect()))
+    assert [got[v] for v in range(len(shapes))] == want and got[9] == 1
+
+
+def test_evaluation_broadcasts_no_voxels(spark, tmp_path):
+    """Spark takes voxels for as small as the parts that they are made from, and would send them to the driver."""
+    from trabecula.plans import queries
+
+    spark.range(100).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("vox_evaluate", "vox_report"):
+        x = queries.QUERIES[name](spark, str(tmp_path))
+        assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString(), name
+    assert x.count() == 13 and '"bcc_pred":' in x.first().json and "cp: " in x.first().text

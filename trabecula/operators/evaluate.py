@@ -54,6 +54,12 @@ def unmatched(pred: DataFrame, ref: DataFrame, unit: str) -> DataFrame:
     return p.join(ref, "volume_id").select("volume_id", problem.alias("problem")).filter("problem is not null")
 
 
+def _met(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Joined by volume where both are dealt already. Never by a broadcast: Spark takes tables of voxels for as small as the
+    files that they are made from."""
+    return left.join(right.hint("shuffle_hash"), "volume_id", how)
+
+
 def buffer_counts(pred: DataFrame, ref: DataFrame, ball: list[tuple[int, int, int]]) -> DataFrame:
     """-> volume_id, tp, fp, fn: voxels of the prediction within the reference's buffer and not, and of the reference outside
     the prediction's. The buffer is never built: a voxel's ball of keys meets the other side in a semi-join."""
@@ -67,7 +73,7 @@ def buffer_counts(pred: DataFrame, ref: DataFrame, ball: list[tuple[int, int, in
     tp = near(p, r).withColumnRenamed("near", "tp")
     hit = near(r, p).withColumnRenamed("near", "hit")
     n_p, n_r = p.groupBy("volume_id").agg(F.count("*").alias("n_pred")), r.groupBy("volume_id").agg(F.count("*").alias("n_ref"))
-    x = n_p.join(n_r, "volume_id", "full").join(tp, "volume_id", "left").join(hit, "volume_id", "left").na.fill(0)
+    x = _met(_met(_met(n_p, n_r, "full"), tp), hit).na.fill(0)
     return x.select("volume_id", "n_pred", "n_ref", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_ref") - F.col("hit")).alias("fn"))
 
 
@@ -91,9 +97,9 @@ def evaluate(pred: DataFrame, ref: DataFrame, shape: tuple[int, int, int] | None
     out = buffer_counts(pred, ref, ball).withColumn("cp", _ratio("tp", "fn")).withColumn("cr", _ratio("tp", "fp"))
     for side, x in (("pred", pred), ("ref", ref)):
         ends = degrees(x).groupBy("volume_id").agg(F.count_if(F.expr("n = 1")).alias(f"e_{side}"))
-        out = out.join(object_counts(x).withColumnRenamed("objects", f"occ_{side}"), "volume_id", "left").join(ends, "volume_id", "left")
+        out = _met(_met(out, object_counts(x).withColumnRenamed("objects", f"occ_{side}")), ends)
         if background:
-            out = out.join(background_counts(x, shape, volumes).withColumnRenamed("background", f"bcc_{side}"), "volume_id", "left")
+            out = _met(out, background_counts(x, shape, volumes).withColumnRenamed("background", f"bcc_{side}"))
         else:
             out = out.withColumn(f"bcc_{side}", F.lit(1).cast("long"))
     out = out.na.fill(0, ["occ_pred", "occ_ref", "e_pred", "e_ref"]).na.fill(1, ["bcc_pred", "bcc_ref"])
@@ -106,23 +112,31 @@ def evaluate(pred: DataFrame, ref: DataFrame, shape: tuple[int, int, int] | None
     return out.withColumn("p", (F.col("cp") + F.col("cr") + F.col("occ_n") + F.col("bcc_n") + F.col("e_n")) / 5).withColumn("warnings", F.array_compact(F.array(*notes)))
 
 
-def report_json(result: DataFrame, radius: float, unit: str) -> DataFrame:
-    """volume_id, json: the report in five sections."""
+def json_report(radius: float, unit: str) -> Column:
+    """The report of an evaluation's row in five sections."""
     cols = lambda *names: F.struct(*(F.col(c) for c in names))
-    return result.select("volume_id", F.to_json(F.struct(
+    return F.to_json(F.struct(
         F.struct(F.col("volume_id").cast("string").alias("volume_id"), F.col("n_pred").alias("prediction_voxels"), F.col("n_ref").alias("reference_voxels")).alias("metadata"),
         F.struct(F.lit(radius).alias("buffer_radius"), F.lit(unit).alias("buffer_radius_unit")).alias("config"),
         cols("tp", "fp", "fn", "cp", "cr", "occ_pred", "occ_ref", "bcc_pred", "bcc_ref", "e_pred", "e_ref", "occ", "bcc", "e").alias("raw_metrics"),
         cols("cp", "cr", "occ_n", "bcc_n", "e_n", "p").alias("normalized_metrics"), F.col("warnings"),
-    )).alias("json"))
+    )).alias("json")
 
 
-def report_text(result: DataFrame, verbose: bool = False) -> DataFrame:
-    """volume_id, text: the report's lines, numbers to four places."""
+def text_report(verbose: bool = False) -> Column:
+    """The lines of the report of an evaluation's row, numbers to four places."""
     number = lambda c: F.coalesce(F.format_string("%.4f", F.col(c).cast("double")), F.lit("N/A"))
     shown = ("cp", "cr", "occ_n", "bcc_n", "e_n", "p") + (("occ", "bcc", "e") if verbose else ())
     lines = [F.concat(F.lit(f"{c}: "), number(c)) for c in shown]
     if verbose:
         lines += [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("tp", "fp", "fn", "n_pred", "n_ref")]
     lines.append(F.when(F.size("warnings") > 0, F.concat(F.lit("warnings: "), F.concat_ws("; ", "warnings"))))
-    return result.select("volume_id", F.concat_ws("\n", *lines).alias("text"))
+    return F.concat_ws("\n", *lines).alias("text")
+
+
+def report_json(result: DataFrame, radius: float, unit: str) -> DataFrame:
+    return result.select("volume_id", json_report(radius, unit))
+
+
+def report_text(result: DataFrame, verbose: bool = False) -> DataFrame:
+    return result.select("volume_id", text_report(verbose))

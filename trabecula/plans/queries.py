@@ -51,7 +51,7 @@ def vox_evaluate(spark, d):
 
 
 def vox_report(spark, d):
-    return evaluate.report_json(vox_evaluate(spark, d), 1.0, "voxels").join(evaluate.report_text(vox_evaluate(spark, d), True), "volume_id")
+    return vox_evaluate(spark, d).select("volume_id", evaluate.json_report(1.0, "voxels"), evaluate.text_report(True))
 
 
 def vox_degrees(spark, d):
