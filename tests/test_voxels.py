@@ -374,3 +374,14 @@ def test_evaluation_broadcasts_no_voxels(spark, tmp_path):
         x = queries.QUERIES[name](spark, str(tmp_path))
         assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString(), name
     assert x.count() == 13 and '"bcc_pred":' in x.first().json and "cp: " in x.first().text
+
+
+def test_root_paths_are_the_cheapest_paths(spark):
+    from pyspark.sql import functions as F
+
+    lab, _ = components.decompose(table(spark, tube(), SHELL + [(8, 8, 8)], PLANE))
+    f = wavefront.significance_fields(lab)
+    last = f.groupBy("volume_id", "label").agg(F.max(F.struct("i", "j", "k")).alias("v")).select("volume_id", "label", "v.*")
+    want = wavefront.cheapest_paths(f, wavefront.root_voxels(f), last).collect()
+    got = wavefront.root_paths(lab).collect()
+    assert len(got) == 4 and sorted(got) == sorted(want) and max(len(r.path) for r in got) > 5

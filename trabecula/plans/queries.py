@@ -122,9 +122,7 @@ def vox_dilation(spark, d):
 
 
 def vox_cheapest_path(spark, d):
-    f = _fields(spark, d).filter("mu > 0")
-    last = f.groupBy("volume_id", "label").agg(F.max(F.struct("i", "j", "k")).alias("v")).select("volume_id", "label", "v.*")
-    return wavefront.cheapest_paths(f, wavefront.root_voxels(f), last)
+    return wavefront.root_paths(components.decompose(fixture(spark, d, "tube"))[0])
 
 
 #: Small objects count too, whatever the default.
