@@ -510,3 +510,21 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         assert stage(spark, spark.createDataFrame([], names), str(tmp_path)).collect() == [], name
         out = stage(spark, spark.createDataFrame(rows, names), str(tmp_path))
         assert out.columns == spark.createDataFrame(rows, names).columns and out.filter("doc_id = 1").count() >= 1, name
+
+
+def test_words_are_gone_once_their_ids_are_written(spark, monkeypatch, tmp_path):
+    """op1_sentencepiece: words, ids and packets don't lie on the shared folder all at once."""
+    import os
+
+    from trabecula.llm import pieces, vocabulary
+
+    folders, real = [], vocabulary.Blocks.applied
+
+    def applied(self, *rest):
+        folders.append(os.listdir(self._ranks.staged_at.removeprefix("file:")))
+        return real(self, *rest)
+
+    monkeypatch.setattr(vocabulary.Blocks, "applied", applied)
+    docs = spark.createDataFrame([(n, f"one two {n}") for n in range(9)], "doc_id long, text string")
+    assert {r.doc_id: r.decoded for r in pieces.encode(docs).collect()} == {n: f"one two {n}" for n in range(9)}
+    assert "kind=links" in folders[0] and "kind=words" not in folders[0]

@@ -262,6 +262,7 @@ def encode(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFra
     v = load(model)
     blocks = Blocks(docs.select("doc_id", F.lit(True).alias("learn"), "text"), cutter(v), "piece-blocks")
     resolved = staged(_merge_words(blocks.words, v) if merges else encode_words(docs.sparkSession, blocks.words, v), "piece-ids")
+    blocks.forget_words()
     place, prefix = {i: bytes([c]) for c, i in enumerate(v.byte_ids)} if v.byte_ids else {}, v.prefix
     texts = [place.get(i, x.replace(SPACE, " ").encode()) for i, x in enumerate(v.names)]
 

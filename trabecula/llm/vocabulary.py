@@ -24,6 +24,8 @@ from .common import discard, release, staged
 #: Text of a block, text that is cut into words at once, text of one packet of documents, all in bytes.
 BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 32 << 20, 2 << 20, 2 << 20
 PARTS, PER_SUPER = 64, 256
+#: Of zstd: packets lie on disk twice while they are dealt. On texts 9 takes a tenth less than 1; on numbers without order it doesn't.
+LEVEL = 9
 
 #: Cuts a column of texts into words: all of them in a row, and how many each text has.
 Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
@@ -31,7 +33,7 @@ Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
 
 def packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
         w.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -70,7 +72,7 @@ def part_of(words: pa.Array) -> np.ndarray:
 
 def planes(codes: np.ndarray) -> bytes:
     """32-bit numbers, packed byte by byte: the high bytes are mostly zeros."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=LEVEL).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
 def from_planes(blob: bytes, n: int) -> np.ndarray:
@@ -195,6 +197,11 @@ class Blocks:
         self._links = met.filter("kind = 'links'").select("super", "part", "block", "size", "ranks")
         self._ranks = met
 
+    def forget_words(self) -> None:
+        """Once resolved values are written, nothing reads the words any more, nor what was shuffled for them."""
+        discard(self._ranks, only="kind=words")
+        release(self.spark)
+
     def applied(self, resolved: DataFrame, each: Callable[[pa.Table, np.ndarray, pa.Table | None], pa.Table], schema: str) -> DataFrame:
         """resolved(super, part, rank, ...) for all words -> what `each` makes of a packet's (doc_id, n), of its words' numbers, and of
         the other columns of resolved by number. The words are deleted, so this is asked once.
