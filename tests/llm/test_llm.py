@@ -528,3 +528,25 @@ def test_words_are_gone_once_their_ids_are_written(spark, monkeypatch, tmp_path)
     docs = spark.createDataFrame([(n, f"one two {n}") for n in range(9)], "doc_id long, text string")
     assert {r.doc_id: r.decoded for r in pieces.encode(docs).collect()} == {n: f"one two {n}" for n in range(9)}
     assert "kind=links" in folders[0] and "kind=words" not in folders[0]
+
+
+def test_texts_are_cut_as_they_come(monkeypatch):
+    """pipeline, SentencePiece: a block holds numbers and different words while it fills, not its texts."""
+    import pyarrow as pa
+
+    from trabecula.llm import scoring, vocabulary
+
+    monkeypatch.setattr(vocabulary, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+    words, most, start = [f"{n:050d}" for n in range(1000)], [0], pa.total_allocated_bytes()
+
+    def batches():
+        for k in range(24):  # about 1 MB each, all of them one block
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(range(20 * k, 20 * k + 20)), "learn": [True] * 20, "text": [" ".join(words)] * 20})
+            most[0] = max(most[0], pa.total_allocated_bytes() - start)
+
+    rows = [r for b in vocabulary._cut_blocks(scoring.cut_tokens, vocabulary.BLOCK_BYTES, True)(batches()) for r in b.to_pylist()]
+    assert most[0] < 8 << 20
+    docs = [vocabulary.unpacked(r["docs"]).to_pylist() for r in rows if r["docs"]]
+    assert [d for x in docs for d in x] == [{"doc_id": n, "n": 1000} for n in range(480)]
+    found = {w["word"]: w["n"] for r in rows if r["words"] for w in vocabulary.unpacked(r["words"]).to_pylist()}
+    assert found == {w: 480 for w in words}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +39,23 @@ def _place(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None, arrow_rows: int | None = None) -> DataFrame:
     """df written to the shared folder, in a folder for each value of `by`, and read again: the plan is cut there and a lost
-    executor costs no recomputation.
+    executor costs no recomputation. `arrow_rows`: rows that go to Python at once while it is written.
 
     The table goes when the session's JVM ends, or with discard() as soon as nothing reads it any more.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if arrow_rows:
+        spark.conf.set(key, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if arrow_rows:
+            spark.conf.set(key, before)
     store, at = _place(spark, path)
     store.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -66,6 +77,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hands memory that this Python process no longer uses back to the system: Spark keeps its workers, and what they hold, for
+    the tasks and stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def thrifty(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel of a mapInArrow, which gives memory back at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, thrifty
 
 KEYS = "doc_id long, hash long, sha binary, n_bytes long"
 ENTRIES = "bucket int, hash long, sha binary, body binary, n_rows long, last_id long"
@@ -140,7 +140,7 @@ def exact_classes(docs: DataFrame, capacity: int = CAPACITY, place: Callable[[by
     the largest doc_id (null if all are null) and the bytes themselves. Other columns of docs aren't read.
     """
     src = docs.select("doc_id", "text")
-    keys = staged(src.mapInArrow(_keys if place is digest else _keys_by(place), KEYS), "dedup-keys")
+    keys = staged(src.mapInArrow(thrifty(_keys if place is digest else _keys_by(place)), KEYS), "dedup-keys")
     top = F.shiftrightunsigned("hash", 64 - MAX_DEPTH)
     once = keys.groupBy("hash", "sha").agg(F.max("n_bytes").alias("n"))
     cells = {int(r[0]): int(r[1]) for r in once.groupBy(top.alias("cell")).agg(F.sum(F.col("n") + 200)).collect()}  # 2**MAX_DEPTH rows at most
@@ -148,9 +148,9 @@ def exact_classes(docs: DataFrame, capacity: int = CAPACITY, place: Callable[[by
     n_buckets = int(directory.max()) + 1
     depth = max(g, 1)
     spread = directory if g else np.zeros(2, np.int32)
-    entries = src.mapInArrow(_combiner(spread, depth, COMBINE, place), ENTRIES)
+    entries = src.mapInArrow(thrifty(_combiner(spread, depth, COMBINE, place)), ENTRIES)
     owned = entries.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "hash")
-    return keys, staged(owned.mapInArrow(_own, CLASSES), "dedup-index")
+    return keys, staged(owned.mapInArrow(thrifty(_own), CLASSES), "dedup-index")
 
 
 def _keys_by(place):

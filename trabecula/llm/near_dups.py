@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import staged, thrifty
 from .graph import components
 from .shingles import flat, mixed, runs, word_hashes
 
@@ -88,7 +88,7 @@ def with_nodes(docs: DataFrame, name: str, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], [*batch.schema.names[:-1], name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-    return docs.select("*", word_hashes(F.col("text")).alias(name)).mapInArrow(run, schema)
+    return docs.select("*", word_hashes(F.col("text")).alias(name)).mapInArrow(thrifty(run), schema)
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     """
     bands, rows = bands_for(threshold, recall, most_hashes)
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("hashes"))
-    signed = staged(hashed.mapInArrow(_signatures(n, bands, rows, SEED), "doc_id long, node long, n_grams int, n_words long, keys array<long>"), "near-signatures")
+    signed = staged(hashed.mapInArrow(thrifty(_signatures(n, bands, rows, SEED)), "doc_id long, node long, n_grams int, n_words long, keys array<long>"), "near-signatures")
     nodes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies"), F.max("n_words").alias("n_words"), F.first("keys").alias("keys")), "near-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of
+from .common import bucket_of, thrifty
 
 WORDS, SHAPES, BINNED = 768, 256, 64
 DIMS = WORDS + SHAPES + BINNED
@@ -93,9 +93,8 @@ def features(texts: list[str | None], featurizer: Featurizer) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     f, total, n = Featurizer(), np.zeros(DIMS, np.int64), 0
     for b in batches:
-        texts = b.column("text").to_pylist()
-        for i in range(0, len(texts), BLOCK):
-            x = f(texts[i : i + BLOCK])
+        for i in range(0, len(b), BLOCK):
+            x = f(b.column("text").slice(i, BLOCK).to_pylist())
             total += (x > 0).sum(0)
             n += len(x)
     yield pa.RecordBatch.from_arrays([pa.array([*range(DIMS), -1], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], ["dim", "n"])
@@ -139,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     labelled = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("sample_label"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "sample_label").agg(F.min("text").alias("text"))
-    rows = chosen.select("text", "sample_label").mapInArrow(_vectors, "label int, x binary").collect()
-    counts = {r[0]: r[1] for r in docs.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect()}
+    rows = chosen.select("text", "sample_label").mapInArrow(thrifty(_vectors), "label int, x binary").collect()
+    counts = {r[0]: r[1] for r in docs.select("text").mapInArrow(thrifty(_frequencies), "dim int, n long").groupBy("dim").agg(F.sum("n")).collect()}
     n = max(counts.get(-1, 0), 1)
     idf = np.log1p(n / (1.0 + np.array([counts.get(d, 0) for d in range(DIMS)]))).astype(np.float32)
     y = np.array([r[0] for r in rows], np.float64)
@@ -161,12 +160,11 @@ def scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, m = Featurizer(), Model(*held.value)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            parts = [m.score(features(texts[i : i + BLOCK], f)) for i in range(0, len(texts), BLOCK)]
+            parts = [m.score(features(b.column("text").slice(i, BLOCK).to_pylist(), f)) for i in range(0, len(b), BLOCK)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(thrifty(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most_labelled: int = MOST_LABELLED) -> DataFrame:

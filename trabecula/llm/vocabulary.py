@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, staged
+from .common import discard, give_back, release, staged, thrifty
 
 #: Text of a block, text that is cut into words at once, text of one packet of documents, all in bytes.
 BLOCK_BYTES, CUT_BYTES, DOCS_BYTES = 32 << 20, 2 << 20, 2 << 20
 PARTS, PER_SUPER = 64, 256
+#: Words whose parts are found at once; rows that go to Python at once while blocks are cut.
+PART_WORDS, CUT_ROWS = 1 << 15, 1000
 #: Of zstd: packets lie on disk twice while they are dealt. On texts 9 takes a tenth less than 1; on numbers without order it doesn't.
 LEVEL = 9
 
@@ -62,6 +64,11 @@ def strings(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 def part_of(words: pa.Array) -> np.ndarray:
     """A number below PARTS for each word: a sum of its bytes times odd numbers that depend on their places, mixed."""
+    out = [_part_of(words.slice(i, PART_WORDS)) for i in range(0, len(words), PART_WORDS)]
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
+def _part_of(words: pa.Array) -> np.ndarray:
     data, at = text_bytes(words)
     place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
     odd = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,29 +106,33 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+        def hold(rows: pa.RecordBatch, sizes: np.ndarray) -> None:
+            """Cuts the rows at once and keeps numbers and different words; what is kept are copies, so that the texts can go."""
+            for lo, hi in _runs(sizes, CUT_BYTES):
+                words, n = cut(rows.column("text").slice(lo, hi - lo))
+                own = rows.select(["doc_id", "learn"]).take(pa.array(np.arange(lo, hi)))
+                held.append((words.dictionary_encode(), n, own, sizes[lo:hi]))
+
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
-            rows = pa.Table.from_batches(held).combine_chunks()
-            sizes = pc.add(pc.fill_null(pc.binary_length(rows.column("text")), 0), 16).to_numpy()
-            found, counts = [], []
-            for lo, hi in _runs(sizes, CUT_BYTES):
-                words, n = cut(rows.column("text").slice(lo, hi - lo).combine_chunks())
-                found.append(words)
-                counts.append(n)
-            ids, held[:] = rows.select(["doc_id"]), []
-            learn = rows.column("learn").to_numpy(zero_copy_only=False) if counted else None
+            found, counts, rows, sizes = zip(*held)
+            held.clear()
+            rows, counts, sizes = pa.Table.from_batches(rows), np.concatenate(counts), np.concatenate(sizes)
+            ids, learn = rows.select(["doc_id"]), rows.column("learn").to_numpy(zero_copy_only=False) if counted else None
             del rows
-            coded = pa.chunked_array(found, pa.string()).dictionary_encode().combine_chunks()
-            del found, words
-            counts = np.concatenate(counts)
+            chunks = pa.chunked_array(found).unify_dictionaries().chunks
+            del found
+            words, chunks = chunks[0].dictionary, [c.indices.to_numpy() for c in chunks]
             # frequent words get small numbers
-            times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            times = np.zeros(len(words), np.int64)
+            for c in chunks:
+                times += np.bincount(c, minlength=len(words))
             order = np.argsort(-times, kind="stable")
             number_of = np.empty(len(order), np.uint32)
             number_of[order] = np.arange(len(order))
-            words, codes = coded.dictionary.take(pa.array(order)), number_of[coded.indices.to_numpy()]
+            words, codes = words.take(pa.array(order)), np.concatenate([number_of[c] for c in chunks])
+            del chunks, times, order, number_of
             learnt = np.bincount(codes[np.repeat(learn, counts)], minlength=len(words)) if counted else None
-            del coded
             at = np.concatenate([[0], np.cumsum(counts)])
             block, where = part << 32 | number, part_of(words)
             one = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, *row), _SCHEMA)], schema=_SCHEMA)
@@ -138,7 +149,8 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
                 table = {"word": words.take(pa.array(mine))} | ({"n": pa.array(learnt[mine], pa.int64())} if counted else {})
                 yield one(p, packed(pa.table(table)), None, None, None)
             number, size = number + 1, 0
-            pa.default_memory_pool().release_unused()
+            del words, codes, ids, order
+            give_back()
 
         for b in batches:
             if not len(b):
@@ -148,7 +160,7 @@ def _cut_blocks(cut: Cut, block_bytes: int, counted: bool):
                 more = int(sizes[lo:hi].sum())
                 if held and size + more > block_bytes:
                     yield from out()
-                held.append(b.slice(lo, hi - lo))
+                hold(b.slice(lo, hi - lo), sizes[lo:hi])
                 size += more
         if held:
             yield from out()
@@ -161,8 +173,8 @@ class Blocks:
 
     def __init__(self, docs: DataFrame, cut: Cut, name: str, counted: bool = False, block_bytes: int = BLOCK_BYTES, per_super: int = PER_SUPER) -> None:
         self.name, self.spark = name, docs.sparkSession
-        rows = docs.select("doc_id", "learn", "text").mapInArrow(_cut_blocks(cut, block_bytes, counted), BLOCKS)
-        table = staged(rows.withColumn("kind", F.when(F.col("part") < 0, "docs").otherwise("words")), name, "kind")
+        rows = docs.select("doc_id", "learn", "text").mapInArrow(thrifty(_cut_blocks(cut, block_bytes, counted)), BLOCKS)
+        table = staged(rows.withColumn("kind", F.when(F.col("part") < 0, "docs").otherwise("words")), name, "kind", CUT_ROWS)
         self.docs = table.filter("kind = 'docs'").select("block", "docs", "codes", "parts")
         supers = -(-self.docs.select("block").distinct().count() // per_super)
         super_of = F.pmod(F.xxhash64("block"), F.lit(max(1, supers))).cast("int").alias("super")
@@ -230,7 +242,7 @@ class Blocks:
                     raise RuntimeError("words of a block have no answers")
                 out.append(each(docs, codes, known))
             del known
-            pa.default_memory_pool().release_unused()
+            give_back()
             return pa.concat_tables(out) if out else each(pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), np.zeros(0, np.uint32), None)
 
         answers = self._links.groupBy("super", "part").cogroup(resolved.groupBy("super", "part")).applyInArrow(answer, "block long, part int, answer binary")
