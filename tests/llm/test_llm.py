@@ -550,3 +550,15 @@ def test_texts_are_cut_as_they_come(monkeypatch):
     assert [d for x in docs for d in x] == [{"doc_id": n, "n": 1000} for n in range(480)]
     found = {w["word"]: w["n"] for r in rows if r["words"] for w in vocabulary.unpacked(r["words"]).to_pylist()}
     assert found == {w: 480 for w in words}
+
+
+def test_a_word_has_one_part():
+    """op1_sentencepiece, op6_lm_scores, pipeline: a word's part doesn't depend on the words around it."""
+    import pyarrow as pa
+
+    from trabecula.llm.vocabulary import PART_WORDS, PARTS, part_of
+
+    words = pa.array([f"w{n}é" for n in range(PART_WORDS + 9)])
+    parts = part_of(words)
+    assert all(parts[n] == part_of(words.slice(n, 1))[0] for n in (*range(0, len(words), 97), len(words) - 1))
+    assert len(part_of(words.slice(0, 0))) == 0 and np.bincount(parts, minlength=PARTS).min() > PART_WORDS / PARTS / 2

@@ -72,7 +72,7 @@ def _part_of(words: pa.Array) -> np.ndarray:
     data, at = text_bytes(words)
     place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
     odd = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    sums = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * odd[place & 63])]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * odd[place & 63])])  # all of 64 bits, no float
     h = sums[at[1:]] - sums[at[:-1]]
     return ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int32) % PARTS
 
