@@ -194,6 +194,35 @@ def test_growth_and_thinning(spark):
         mcp.MCPConfig(root_method="centre").validate()
 
 
+def ladder(rungs, gap=6, width=6):
+    """Two rails and rungs between them, a voxel thick: each round of growth takes one more piece of the far rail."""
+    n = rungs * gap + 1
+    return [(i, j, 0) for j in range(n) for i in range(width + 1) if i in (0, width) or j % gap == 0]
+
+
+def test_growth_has_no_cap(spark, monkeypatch):
+    from trabecula.plans import queries
+
+    monkeypatch.setattr(queries, "fixture", lambda *_: table(spark, ladder(420)))
+    got = {r.j for r in queries.vox_mcp(spark, "").filter("i = 6").collect()}
+    bare = [j for j in range(420 * 6 - 12) if not got & set(range(j, j + 13))]
+    assert not bare, (len(bare), bare[:3])
+
+
+def test_growth_has_no_clock(monkeypatch):
+    import itertools
+    import time
+
+    mu = np.zeros((7, 61, 1), np.float32)
+    mu[tuple(np.array(ladder(10)).T)] = 1
+    whole, _ = mcp.skeletonise(mu, mcp.MCPConfig())
+    ticks = itertools.count(0, 100)
+    monkeypatch.setattr(time, "monotonic", lambda: float(next(ticks)))
+    slow, _ = mcp.skeletonise(mu, mcp.MCPConfig())
+    monkeypatch.undo()
+    assert whole.sum() > 1 and (slow == whole).all()
+
+
 def test_voxel_graph(spark):
     v, e = voxelgraph.voxel_graphs(table(spark, TEE))
     assert e.count() == v.count() - 1
