@@ -209,6 +209,15 @@ def test_growth_has_no_cap(spark, monkeypatch):
     assert not bare, (len(bare), bare[:3])
 
 
+def test_summary_has_whole_growth(spark, monkeypatch):
+    from trabecula.plans import queries
+
+    monkeypatch.setattr(queries, "fixture", lambda *_: table(spark, ladder(420), ladder(10)))
+    long, short = queries.vox_mcp_summary(spark, "").orderBy("volume_id").collect()
+    assert (long.objects, long.cap_hits, long.fuse_hits, short.objects, short.cap_hits) == (1, 0, 0, 1, 0)
+    assert long.mean_iterations > 200 and long.branch_count > 200
+
+
 def test_growth_has_no_clock(monkeypatch):
     import itertools
     import time
